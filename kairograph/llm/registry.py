@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import media, packing
+from . import media, packing, token_files
 
-MODULES = (packing, media)
+MODULES = (token_files, packing, media)
 
 
 def queries() -> dict:
