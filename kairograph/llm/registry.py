@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import media, packing, token_files
+from . import licenses, media, packing, quality, token_files
 
-MODULES = (token_files, packing, media)
+MODULES = (token_files, packing, licenses, quality, media)
 
 
 def queries() -> dict:
