@@ -123,6 +123,15 @@ def row_chunks(offsets: np.ndarray, limit: int = 1 << 20):
         first = min(last, n)
 
 
+def row_slices(batch, column: int, limit: int = 1 << 21):
+    """An Arrow batch in slices whose values in ``column`` hold about ``limit`` bytes, one row at least."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for first, last in row_chunks(np.concatenate([[0], np.cumsum(sizes)]), limit):
+        yield batch.slice(first, last - first)
+
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 

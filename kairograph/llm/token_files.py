@@ -20,13 +20,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, shuffle_partitions, table
+from .common import row_slices, shared_dir, shuffle_partitions, table
 from .rangecoder import read_stripes, write_stripes
 from .tokens import encoder, tokenizer_path
 
 END_ID = 0
-#: Ids after which a stripe ends with the document at hand.
+#: Ids after which a stripe ends.
 STRIPE_IDS = 1 << 20
+#: Ids coded side by side (about as many bytes of coded blocks are decoded together).
+AT_ONCE = 1 << 22
 
 FILE_SCHEMA = "file long, stripe long, n_ids long, data binary"
 
@@ -39,27 +41,39 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
         from pyspark import TaskContext
 
         part, before, number = TaskContext.get().partitionId(), 0, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            doc_ids = batch.column(0).to_pylist()
-            ids, offsets = encoder(tokenizer).encode(batch.column(1).to_pylist())
-            n = np.diff(offsets) + 1
-            ends = np.cumsum(n)
-            full = np.full(int(ends[-1]), end_id, dtype=np.uint32)
-            keep = np.ones(full.size, dtype=bool)
-            keep[ends - 1] = False
-            full[keep] = ids
-            stripes, first = [], 0
-            while first < len(doc_ids):
-                begin = int(ends[first] - n[first])
-                last = min(len(doc_ids), int(np.searchsorted(ends, begin + STRIPE_IDS, side="left")) + 1)
-                stripes.append((doc_ids[first:last], n[first:last], full[begin : int(ends[last - 1])], before))
-                before += int(ends[last - 1]) - begin
-                first = last
+        waiting: list = []  # parts of a stripe: document ids, lengths, ids
+        stripes: list = []
+
+        def close() -> None:
+            nonlocal before
+            if waiting:
+                doc_ids, n, ids = [d for w in waiting for d in w[0]], np.concatenate([w[1] for w in waiting]), np.concatenate([w[2] for w in waiting])
+                stripes.append((doc_ids, n, ids, before))
+                before += ids.size
+                waiting.clear()
+
+        def written():
+            nonlocal number
             for data, stripe in zip(write_stripes(stripes), stripes, strict=True):
                 yield pa.RecordBatch.from_pydict({"file": pa.array([part], pa.int64()), "stripe": pa.array([number], pa.int64()), "n_ids": pa.array([len(stripe[2])], pa.int64()), "data": pa.array([data], pa.binary())})
                 number += 1
+            stripes.clear()
+
+        for batch in batches:
+            for some in row_slices(batch, 1):
+                ids, offsets = encoder(tokenizer).encode(some.column(1).to_pylist())
+                n = np.diff(offsets) + 1
+                full = np.full(ids.size + n.size, end_id, dtype=np.uint32)
+                keep = np.ones(full.size, dtype=bool)
+                keep[np.cumsum(n) - 1] = False
+                full[keep] = ids
+                waiting.append((some.column(0).to_pylist(), n, full))
+                if sum(w[2].size for w in waiting) >= STRIPE_IDS:
+                    close()
+                if sum(len(s[2]) for s in stripes) >= AT_ONCE:
+                    yield from written()
+        close()
+        yield from written()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = ordered.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", F.length("text"), F.xxhash64("text"))
@@ -75,7 +89,7 @@ def read_tokens(spark, path: str, keep_ids: bool = False) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (b for whole in batches for b in row_slices(whole, 1, AT_ONCE)):
             for file, (doc_ids, n, ids, before) in zip(batch.column(0).to_pylist(), read_stripes(batch.column(1).to_pylist()), strict=True):
                 ends = np.cumsum(n)
                 view = memoryview(np.ascontiguousarray(ids, dtype="<u4")).cast("B")
