@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import html_text, licenses, media, packing, pii, quality, token_files
+from . import html_text, licenses, media, mixing, packing, pii, quality, token_files
 
-MODULES = (token_files, packing, licenses, pii, html_text, quality, media)
+MODULES = (mixing, token_files, packing, licenses, pii, html_text, quality, media)
 
 
 def queries() -> dict:
