@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import html_text, licenses, media, mixing, ngram_join, packing, pii, quality, token_files
+from . import html_text, licenses, media, mixing, ngram_join, packing, pii, quality, repeats, token_files
 
-MODULES = (mixing, token_files, ngram_join, packing, licenses, pii, html_text, quality, media)
+MODULES = (mixing, token_files, ngram_join, packing, licenses, pii, repeats, html_text, quality, media)
 
 
 def queries() -> dict:
