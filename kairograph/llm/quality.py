@@ -72,7 +72,7 @@ def repeat_words(w: Column) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the base counts, and the two histograms of each document."""
+    """doc_id, hash of the text, lang, the base counts, and the two histograms of each document."""
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     text = F.col("text")
 
@@ -88,6 +88,7 @@ def features(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     df = df.select(
         "doc_id",
+        F.xxhash64(text).alias("th"),
         "lang",
         let(words(text), of_words).alias("w"),
         F.length(text).cast("long").alias("n_chars"),
@@ -99,7 +100,7 @@ def features(docs: DataFrame) -> DataFrame:
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
     )
     classes = [F.col("n_chars") - F.col("w.word_chars"), F.col("n_digits"), F.col("n_punctuation"), F.col("n_upper"), F.col("n_wide"), F.greatest(F.col("w.word_chars") - F.col("n_digits") - F.col("n_punctuation") - F.col("n_upper") - F.col("n_wide"), F.lit(0))]
-    return df.select("doc_id", "lang", "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", F.array(*[c.cast("double") for c in classes]).alias("class_histogram"), "w.word_histogram")
+    return df.select("doc_id", "th", "lang", "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", F.array(*[c.cast("double") for c in classes]).alias("class_histogram"), "w.word_histogram")
 
 
 def total(h: Column) -> Column:
@@ -136,10 +137,23 @@ def judge(feats: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     near = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
     df = df.withColumn("base_failed", failed).withColumn("kept", ~failed & near)
-    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
+    return df.select("doc_id", "th", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 
 def quality(docs: DataFrame) -> DataFrame:
+    return judge(stored(features(docs), "quality-features")).drop("th", "lang")
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The documents that pass; all columns stay."""
+    good = quality_by_text(docs).filter("kept").select(F.coalesce("doc_id", F.lit(0)).alias("k_id"), F.col("doc_id").isNull().alias("k_null"), "th", F.coalesce("lang", F.lit("")).alias("k_lang")).distinct()
+    row = docs.select(F.struct(*docs.columns).alias("row"))
+    doc_id, text, lang = F.col("row.doc_id").cast("long"), F.coalesce(F.col("row.text").cast("string"), F.lit("")), F.col("row.lang").cast("string")
+    row = row.select("row", F.coalesce(doc_id, F.lit(0)).alias("k_id"), doc_id.isNull().alias("k_null"), F.xxhash64(text).alias("th"), F.coalesce(lang, F.lit("")).alias("k_lang"))
+    return row.join(good, ["k_id", "k_null", "th", "k_lang"], "left_semi").select("row.*")
+
+
+def quality_by_text(docs: DataFrame) -> DataFrame:
     return judge(stored(features(docs), "quality-features"))
 
 
