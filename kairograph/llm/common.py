@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +49,37 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: 64-bit words of the filter that spares rows without a partner a shuffle; its size is fixed, a full one spares none.
+FILTER_WORDS = 1 << 18
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A bit set of fixed size with a bit for each hash t of ``keys``."""
+    bit = F.col("t").bitwiseAND(F.lit(FILTER_WORDS * 64 - 1))
+    words = keys.select(F.shiftright(bit, 6).alias("w"), F.expr("shiftleft(1L, cast(t & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    out = np.zeros(FILTER_WORDS, dtype=np.uint64)
+    found = words.toPandas()  # FILTER_WORDS rows at most
+    out[found["w"].to_numpy(dtype=np.int64)] = found["b"].to_numpy(dtype=np.int64).view(np.uint64)
+    return out
+
+
+def in_filter(bits: np.ndarray, t: np.ndarray) -> np.ndarray:
+    place = t.view(np.uint64) & np.uint64(FILTER_WORDS * 64 - 1)
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
+def only_in(rows: DataFrame, bits) -> DataFrame:
+    """The rows whose first column, a hash, may be in the broadcast filter; they are dropped before any shuffle."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array(in_filter(bits.value, batch.column(0).to_numpy())))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 #: 2**64 divided by the golden ratio, and the two multipliers of the splitmix64 finaliser (fixed values).
 GOLDEN, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 

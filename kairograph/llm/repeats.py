@@ -28,14 +28,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, prefix_hash, row_slices, shuffle_partitions, span_hash, stored, table, text_bytes
+from .common import in_filter, key_filter, mix64, only_in, prefix_hash, row_slices, shuffle_partitions, span_hash, stored, table, text_bytes
 
 LENGTH, GRAM = 400, 64
 _POSITION_BITS = 24
 #: Window starts of one text handled at once.
 PIECE = 1 << 22
-#: 64-bit words of the filter that spares texts without repeats a shuffle; its size is fixed, a full one spares none.
-FILTER_WORDS = 1 << 18
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, prefix: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -293,33 +291,6 @@ def second_step(asked: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(meet, _RANGES)
 
 
-def key_filter(keys: DataFrame) -> np.ndarray:
-    """A bit set of fixed size with a bit for each t of ``keys``."""
-    bit = F.col("t").bitwiseAND(F.lit(FILTER_WORDS * 64 - 1))
-    words = keys.select(F.shiftright(bit, 6).alias("w"), F.expr("shiftleft(1L, cast(t & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    out = np.zeros(FILTER_WORDS, dtype=np.uint64)
-    found = words.toPandas()  # FILTER_WORDS rows at most
-    out[found["w"].to_numpy(dtype=np.int64)] = found["b"].to_numpy(dtype=np.int64).view(np.uint64)
-    return out
-
-
-def in_filter(bits: np.ndarray, t: np.ndarray) -> np.ndarray:
-    place = t.view(np.uint64) & np.uint64(FILTER_WORDS * 64 - 1)
-    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-
-
-def _only(texts: DataFrame, bits) -> DataFrame:
-    """The rows whose key may be in the filter, before any shuffle."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            yield batch.filter(pa.array(in_filter(bits.value, batch.column(0).to_numpy())))
-
-    return texts.mapInArrow(run, texts.schema)
-
-
 def text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
@@ -331,7 +302,7 @@ def covered_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     done = ranges.filter(F.col("kind") == COVERED).select("t", "low", "high")
     open_ = ranges.filter(F.col("kind") != COVERED)
     lists = open_.groupBy("t").agg(F.collect_list(F.struct("low", "high", "kind")).alias("ranges")).withColumnRenamed("t", "r_t")
-    some = _only(texts, sc.broadcast(key_filter(open_)))
+    some = only_in(texts, sc.broadcast(key_filter(open_)))
     asked = some.join(lists, some["t"] == lists["r_t"]).select("t", "text", "ranges")
     return stored(done.unionByName(second_step(asked, length).select("t", "low", "high")), "repeat-covered")
 
@@ -372,7 +343,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text:
             yield pa.RecordBatch.from_arrays([batch.column(2), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=False))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if keep_text else 5])
 
     lists = ranges.groupBy("t").agg(F.collect_list(F.struct("low", "high")).alias("ranges")).withColumnRenamed("t", "r_t")
-    some = _only(rows, bits)
+    some = only_in(rows, bits)
     held = some.join(lists, some["t"] == lists["r_t"], "left").select("t", "text", "doc_id", "ranges")
     return held.mapInArrow(lambda b: measured(b, True), schema).unionByName(rows.mapInArrow(lambda b: measured(b, False), schema))
 
