@@ -14,8 +14,8 @@ XSD = "http://www.w3.org/2001/XMLSchema#"
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 RDFS = "http://www.w3.org/2000/01/rdf-schema#"
 OWL = "http://www.w3.org/2002/07/owl#"
-#: Namespace of the validity predicates and its reserved prefix (fixed values).
-VERS, VERS_PREFIX = "https://github.com/GreenfishK/DataCitation/versioning/", "vers"
+#: Default namespace of the validity predicates in exported files, and its reserved prefix; readers and writers take another as a parameter.
+VERS, VERS_PREFIX = "urn:kairograph:versioning:", "vers"
 
 INTEGER_TYPES = tuple(XSD + t for t in ("integer", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger", "nonPositiveInteger", "negativeInteger", "unsignedInt", "unsignedLong", "unsignedShort", "unsignedByte"))
 NUMERIC_TYPES = (*INTEGER_TYPES, XSD + "decimal", XSD + "double", XSD + "float")
