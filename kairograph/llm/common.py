@@ -25,6 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def arrow_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+    """Keep the batches between Spark and Python at ``limit`` bytes for the session, so that their copies on both sides stay small."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", limit)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage and survives lost executors.
 

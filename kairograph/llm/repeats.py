@@ -28,12 +28,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_filter, key_filter, mix64, only_in, prefix_hash, row_slices, shuffle_partitions, span_hash, stored, table, text_bytes
+from .common import arrow_batches, in_filter, key_filter, mix64, only_in, prefix_hash, row_slices, shuffle_partitions, span_hash, stored, table, text_bytes
 
 LENGTH, GRAM = 400, 64
 _POSITION_BITS = 24
-#: Window starts of one text handled at once.
-PIECE = 1 << 22
+#: Bytes of text worked on at once, window starts of one text at once, and bytes whose names are sent together.
+SLICE, PIECE, TOGETHER = 1 << 18, 1 << 20, 1 << 22
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, prefix: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -71,16 +71,16 @@ def runs(data: np.ndarray, offsets: np.ndarray, prefix: np.ndarray, length: int,
 
 
 def _pieces(batch, length: int):
-    """(text keys, start of the piece in its text, bytes, offsets) in slices small enough for an anchor's position."""
-    for some in row_slices(batch, 1, 1 << 20):
+    """(text keys, start of the piece in its text, bytes, offsets) in slices small enough for the cache and for an anchor's position."""
+    for some in row_slices(batch, 1, SLICE):
         data, offsets, _ = text_bytes(some.column(1))
         t = some.column(0).to_numpy().view(np.uint64)
         if data.size <= PIECE:
-            yield some, t, 0, data, offsets
+            yield t, 0, data, offsets
         else:  # one long text
             for a in range(0, max(1, data.size - length + 1), PIECE):
                 part = data[a : a + PIECE + length - 1]
-                yield some, t, a, part, np.array([0, part.size])
+                yield t, a, part, np.array([0, part.size])
 
 
 def _joined(t: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,36 +137,35 @@ def first_step(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """Ranges of windows of texts (t, text): COVERED, or to be compared window by window, as one that ASKS or only HELPS others."""
     parts = 4 * shuffle_partitions(texts.sparkSession)
 
+    def sent(held: list[tuple[np.ndarray, ...]]):
+        g, c, t, low, high = (np.concatenate(x) for x in zip(*held, strict=True))
+        if not g.size:
+            return
+        order = np.lexsort((low, t, c, g))
+        g, c, t, low, high = g[order], c[order], t[order], low[order], high[order]
+        new = np.ones(g.size, dtype=bool)
+        new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+        group = np.cumsum(new) - 1
+        several = np.bincount(group) > 1  # a text that stands here twice counts twice
+        full = several[group]
+        out = [(p, 0, raw) for p, raw in _dealt(g[new], [g[new], c[new], t[new], _pack(low[new], high[new], several)], parts)]
+        ct, cl, ch = _joined(t[full], low[full], high[full])
+        if ct.size:
+            out.append((int(ct[0] % np.uint64(parts)), 1, np.stack([ct, cl.astype(np.uint64), ch.astype(np.uint64)]).tobytes()))
+        yield _blob_batch(out)
+
     def deal(batches):
         for batch in batches:
-            for some, t, at, data, offsets in _pieces(batch, length):
-                out = []
-                covered: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                _, firsts, times = np.unique(t, return_index=True, return_counts=True)
+            held, size = [], 0
+            for t, at, data, offsets in _pieces(batch, length):
                 r, low, high, g, c = runs(data, offsets, prefix_hash(data), length, gram)
-                low, high = low + at, high + at
-                chosen = np.zeros(t.size, dtype=bool)
-                chosen[firsts] = True
-                twice = np.zeros(t.size, dtype=bool)
-                twice[firsts] = times > 1
-                keep = chosen[r]
-                r, low, high, g, c = r[keep], low[keep], high[keep], g[keep], c[keep]
-                order = np.lexsort((c, g))
-                r, low, high, g, c = r[order], low[order], high[order], g[order], c[order]
-                if not g.size:
-                    continue
-                new = np.ones(g.size, dtype=bool)
-                new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
-                group = np.cumsum(new) - 1
-                several = np.bincount(group) > 1
-                np.logical_or.at(several, group, twice[r])
-                full = several[group]
-                covered.append((t[r[full]], low[full], high[full]))
-                out += [(p, 0, raw) for p, raw in _dealt(g[new], [g[new], c[new], t[r[new]], _pack(low[new], high[new], several)], parts)]
-                ct, cl, ch = _joined(*covered[0])
-                if ct.size:
-                    out.append((int(ct[0] % np.uint64(parts)), 1, np.stack([ct, cl.astype(np.uint64), ch.astype(np.uint64)]).tobytes()))
-                yield _blob_batch(out)
+                held.append((g, c, t[r], low + at, high + at))
+                size += data.size
+                if size >= TOGETHER:
+                    yield from sent(held)
+                    held, size = [], 0
+            if held:
+                yield from sent(held)
 
     def meet(batches):
         sent: dict[int, list[np.ndarray]] = {}
@@ -220,46 +219,58 @@ def second_step(asked: DataFrame, length: int) -> DataFrame:
     """Covered ranges from comparing windows one by one; asked: t, text and the list of ranges."""
     parts = 4 * shuffle_partitions(asked.sparkSession)
 
+    def named(some):
+        """(name, text, window, whether it asks) of the windows in the ranges of a slice, each text once."""
+        data, offsets, _ = text_bytes(some.column(1))
+        t = some.column(0).to_numpy().view(np.uint64)
+        _, firsts = np.unique(t, return_index=True)
+        lists = some.column(2)
+        at = lists.offsets.to_numpy().astype(np.int64)
+        low, high, kind = (lists.values.field(k).to_numpy(zero_copy_only=False)[int(at[0]) : int(at[-1])] for k in range(3))
+        entry = np.repeat(np.arange(t.size), np.diff(at))
+        chosen = np.zeros(t.size, dtype=bool)
+        chosen[firsts] = True
+        keep = chosen[entry]
+        entry, low, high, kind = entry[keep], low[keep], high[keep], kind[keep]
+        n = high - low + 1
+        owner = np.repeat(np.arange(n.size), n)
+        start = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + low[owner]
+        where = offsets[:-1][entry[owner]] + start
+        return span_hash(prefix_hash(data), where, where + length), t[entry[owner]], start, kind[owner] == ASKS
+
+    def sent(held: list[tuple[np.ndarray, ...]]):
+        name, t, start, asks = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((start, t, name))
+        name, t, start, asks = name[order], t[order], start[order], asks[order]
+        keep = np.ones(name.size, dtype=bool)
+        keep[1:] = (name[1:] != name[:-1]) | (t[1:] != t[:-1]) | (start[1:] != start[:-1])  # a text may be in two slices
+        name, t, start, asks = name[keep], t[keep], start[keep], asks[keep]
+        if not name.size:
+            return
+        new = np.ones(name.size, dtype=bool)
+        new[1:] = name[1:] != name[:-1]
+        group = np.cumsum(new) - 1
+        several = np.bincount(group) > 1
+        full = several[group] & asks
+        # one for each name; if several hold it here, all of them are answered already
+        tell = [name[new], t[new], (start[new] << 1 | (asks[new] & ~several)).astype(np.uint64)]
+        out = [(p, 0, raw) for p, raw in _dealt(name[new], tell, parts)]
+        ct, cl, ch = _joined(t[full], start[full], start[full])
+        if ct.size:
+            out.append((int(ct[0] % np.uint64(parts)), 1, np.stack([ct, cl.astype(np.uint64), ch.astype(np.uint64)]).tobytes()))
+        yield _blob_batch(out)
+
     def deal(batches):
         for batch in batches:
-            for some in row_slices(batch, 1, 1 << 20):
-                data, offsets, _ = text_bytes(some.column(1))
-                t = some.column(0).to_numpy().view(np.uint64)
-                _, firsts = np.unique(t, return_index=True)
-                lists = some.column(2)
-                at = lists.offsets.to_numpy().astype(np.int64)
-                fields = lists.values
-                low, high, kind = (fields.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                entry = np.repeat(np.arange(t.size), np.diff(at))
-                span = slice(int(at[0]), int(at[-1]))
-                low, high, kind = low[span], high[span], kind[span]
-                chosen = np.zeros(t.size, dtype=bool)
-                chosen[firsts] = True
-                keep = chosen[entry]
-                entry, low, high, kind = entry[keep], low[keep], high[keep], kind[keep]
-                n = high - low + 1
-                owner = np.repeat(np.arange(n.size), n)
-                start = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + low[owner]
-                where = offsets[:-1][entry[owner]] + start
-                name = span_hash(prefix_hash(data), where, where + length)
-                asks = kind[owner] == ASKS
-                order = np.argsort(name, kind="stable")
-                name, asks, start, owner = name[order], asks[order], start[order], owner[order]
-                new = np.ones(name.size, dtype=bool)
-                new[1:] = name[1:] != name[:-1]
-                group = np.cumsum(new) - 1
-                several = np.bincount(group, minlength=int(new.sum())) > 1
-                out = []
-                full = several[group] & asks
-                if full.any():
-                    ct, cl, ch = _joined(t[entry[owner[full]]], start[full], start[full])
-                    out.append((int(ct[0] % np.uint64(parts)), 1, np.stack([ct, cl.astype(np.uint64), ch.astype(np.uint64)]).tobytes()))
-                # one for each name; if several hold it here, all of them are answered already
-                needs = (asks[new] & ~several).astype(np.int64)
-                tell = [name[new], t[entry[owner[new]]], (start[new] << 1 | needs).astype(np.uint64)]
-                out += [(p, 0, raw) for p, raw in _dealt(name[new], tell, parts)]
-                if out:
-                    yield _blob_batch(out)
+            held, size = [], 0
+            for some in row_slices(batch, 1, SLICE):
+                held.append(named(some))
+                size += held[-1][0].size
+                if size >= TOGETHER // 8:
+                    yield from sent(held)
+                    held, size = [], 0
+            if held:
+                yield from sent(held)
 
     def meet(batches):
         sent: dict[int, list[np.ndarray]] = {}
@@ -309,6 +320,7 @@ def covered_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
     """Per document: its bytes, those removed, the removed runs, a digest of the rest, and the rest itself on request."""
+    arrow_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id")).select(text_key(F.col("text")).alias("t"), "text", "doc_id")
     ranges = covered_ranges(rows.select("t", "text"), length, gram)
     bits = rows.sparkSession.sparkContext.broadcast(key_filter(ranges))

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_slices, shared_dir, shuffle_partitions, table
+from .common import arrow_batches, row_slices, shared_dir, shuffle_partitions, table
 from .rangecoder import read_stripes, write_stripes
 from .tokens import encoder, tokenizer_path
 
@@ -75,6 +75,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
         close()
         yield from written()
 
+    arrow_batches(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = ordered.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", F.length("text"), F.xxhash64("text"))
     ordered.mapInArrow(run, FILE_SCHEMA).write.parquet(path)
