@@ -215,7 +215,8 @@ class Scope:
             case "FLOOR", [a]:
                 return _round_up(a, F.floor)
             case "ROUND", [a]:
-                return _round_up(a, lambda x: F.floor(x + F.lit(0.5).cast("decimal(2,1)") if x is a.number().dec else x + 0.5))
+                n = a.number()
+                return Value("num", dec=F.floor(n.dec + F.lit("0.5").cast("decimal(2,1)")).cast(T.DECIMAL), dbl=F.floor(n.dbl + 0.5).cast("double"), rank=n.rank)
             case "RAND", []:
                 return Value("num", dec=F.rand().cast(T.DECIMAL), dbl=F.rand(), rank=3)
             case "STR", [a]:
@@ -342,7 +343,7 @@ class Scope:
 
     def cast(self, target: str, a: Value) -> Value:
         kind = target.removeprefix(T.XSD)
-        s = a.text()
+        s = a.text() if a.kind != "num" or kind in ("string", "boolean", "dateTime", "date") else None
         if target == kind:
             raise ExpressionNotCovered(f"function <{target}>")
         if kind == "string":
@@ -353,13 +354,16 @@ class Scope:
             t = a.term()
             ok = T.instant(s).isNotNull()
             return Value("term", F.when(ok, T.typed(s, target)) if a.kind != "time" else t)
-        n = F.coalesce(a.number().dec, s.try_cast(T.DECIMAL), s.try_cast("double").try_cast(T.DECIMAL))
+        if a.kind == "num":  # no detour over text
+            n = a.dec if isinstance(a.rank, int) and a.rank < 2 else F.coalesce(a.dec, a.dbl.try_cast(T.DECIMAL))
+        else:
+            n = F.coalesce(s.try_cast(T.DECIMAL), s.try_cast("double").try_cast(T.DECIMAL))
         if kind == "integer" or target in T.INTEGER_TYPES:
             whole = F.when(n >= 0, F.floor(n)).otherwise(F.ceil(n))
             return integer(whole)
         if kind == "decimal":
             return Value("num", dec=n, dbl=n.cast("double"), rank=1)
         if kind in ("double", "float"):
-            d = F.coalesce(a.number().dbl, s.try_cast("double"))
+            d = a.dbl if a.kind == "num" else s.try_cast("double")
             return Value("num", dec=d.try_cast(T.DECIMAL), dbl=d, rank=3 if kind == "double" else 2)
         raise ExpressionNotCovered(f"cast to {target}")
