@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,6 +31,12 @@ def arrow_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", limit)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now; it does so for what the driver's collectors have freed."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage and survives lost executors.
 
