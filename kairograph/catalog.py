@@ -366,3 +366,24 @@ entry("merged_times", lambda s, d: TS.merged_times(V.table(s, d, "lineitem").fil
 entry("validity_classes", lambda s, d: TS.validity_classes(V.table(s, d, "lineitem").select("l_orderkey", (F.col("l_returnflag") == "R").alias("valid")), ["l_orderkey"]), "SELECT l_orderkey, BOOL_OR(l_returnflag = 'R') AS any_valid, BOOL_AND(l_returnflag = 'R') AS all_valid, COUNT(*) AS stores, CASE WHEN BOOL_AND(l_returnflag = 'R') THEN 'all' WHEN BOOL_OR(l_returnflag = 'R') THEN 'some' ELSE 'none' END AS class FROM lineitem GROUP BY l_orderkey")
 entry("batch_max_per_version", lambda s, d: TS.batch_maxima(V.table(s, d, "lineitem").select(F.col("l_linestatus").alias("policy"), F.when(F.col("l_linenumber") == 1, "snapshot_0").when(F.col("l_returnflag") == "R", F.concat(F.lit("negative_change_set_"), F.col("l_linenumber").cast("string"))).otherwise(F.concat(F.lit("positive_change_set_"), F.col("l_linenumber").cast("string"))).alias("batch"), F.col("l_quantity").alias("execution_time")), ["policy"]), "SELECT l_linestatus AS policy, CASE WHEN l_linenumber <> 1 AND l_returnflag = 'R' THEN 'invalidate' ELSE 'insert' END AS kind, CASE WHEN l_linenumber = 1 THEN 0 ELSE l_linenumber END AS version, MAX(l_quantity) AS max_time FROM lineitem GROUP BY ALL")
 entry("query_counts", lambda s, d: M.query_counts(V.table(s, d, "part").select(F.col("p_brand").alias("policy"), F.col("p_type").alias("dataset"), (F.col("p_size") % 2).alias("query_set"))), "SELECT p_brand AS policy, p_type AS dataset, p_size % 2 AS query_set, COUNT(*) AS queries FROM part GROUP BY ALL")
+
+
+# --- streaming (S): the state after a replay through the tracker equals the last dump
+
+
+def _replayed_state(spark, d):
+    import uuid
+
+    from kairograph.operators.storage import shared_dir
+    from kairograph.streaming.tracking import version_step
+
+    store = S.VersionedStore(spark, f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}")
+    c = V.copies(spark, d)
+    for k in range(3):
+        version_step(store, c.filter(F.col("version") == k).select("s", "p", "o"), V.COPY_TIMES[k])
+    return store.table().drop("g")
+
+
+_RUN3 = "(SELECT s, p, o, MIN(version) AS a, MAX(version) AS z FROM (SELECT *, version - ROW_NUMBER() OVER (PARTITION BY s, p, o ORDER BY version) AS run FROM copies WHERE version < 3) r GROUP BY s, p, o, run)"
+_AT = "CASE {0} " + " ".join(f"WHEN {k} THEN {ts(t)}" for k, t in enumerate(V.COPY_TIMES)) + " END"
+entry("stream_replay_state", _replayed_state, f"SELECT s, p, o, {_AT.format('a')} AS valid_from, CASE WHEN z = 2 THEN {V.SENT} ELSE {_AT.format('z + 1')} END AS valid_until FROM {_RUN3} x", "ord copies")
