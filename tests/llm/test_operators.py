@@ -256,7 +256,7 @@ def test_quality_distance(spark):
 
 
 def test_licenses(spark, docs):
-    rows = docs + [(910, "x CC BY-NC 4.0 cc by. GENERAL public-license All rights reserved", "s"), (911, "foo Released under the MIT License. bar", "s"), (912, "Licensed under the very Apache License, Version 2.0. (c)", "s"), (913, "İK K all rights reserved", "s")]
+    rows = docs + [(910, "x CC BY-NC 4.0 cc by. GENERAL public-license All rights reserved", "s"), (911, "foo Released under the MIT License. bar", "s"), (912, "It is licensed, under the Apache License; version 2.0 (c)", "s"), (913, "İK K all rights reserved", "s")]
     for r in licenses.license_scan(frame(spark, rows)).collect():
         texts = [t or "" for d, t, _ in rows if d == r.doc_id]
         w = licenses.plain_words(texts[0])
