@@ -54,6 +54,7 @@ def test_time_filter_reaches_the_scan(spark, tmp_path):
 
     store = S.VersionedStore(spark, str(tmp_path / "store"))
     store.commit(V.v_or(spark, SF))
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
     plan = S.snapshot(store.table(), V.T_OR)._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(valid_from" in plan and "GreaterThan(valid_until" in plan
 
