@@ -1,9 +1,11 @@
 """Quality rules by distribution divergence, in DataFrame operations only.
 
 For each document two histograms are counted over the whole text: character classes, and common words of
-the languages.  The reference of a language is the sum over all its documents.  A document is rejected by
-the method if the Jensen-Shannon distance (base 2, 0 to 1) of one histogram to its language's reference is
-over the limit; histograms with too few counts are not judged.  Plain counts (symbols, repeated lines,
+the languages with one more bin for all other words.  The reference of a language is the sum over all its
+documents.  A document is rejected by the method if the Jensen-Shannon distance (base 2, 0 to 1) of one
+histogram to its language's reference is over the language's limit: the median of the distances of its
+judged documents and a multiple of their median absolute deviation.  Texts with too few characters or
+words for a histogram are not judged by it.  Plain counts (symbols, repeated lines,
 words in repeated windows) are returned beside it and give the base verdict.
 
 Defined results: a null or blank text has no words and fails the base rule; a null language is a language
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import stored, table
 
@@ -29,9 +32,14 @@ COMMON_WORDS = (
     "der", "die", "und", "den", "von", "zu", "das", "mit", "ist", "nicht",
     "el", "y", "los", "del", "las", "por", "con", "para", "una", "no",
 )
-#: Least counts before a histogram is judged, and the distances over which it fails.
-MIN_CHARS, MIN_COMMON = 200, 40
+#: Least characters and words of a text before its histogram is judged, and the distances over which it fails in any language.
+MIN_CHARS, MIN_JUDGED_WORDS = 200, 50
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.35, 0.6
+#: A language's limit is this many deviations over its median; the least deviation keeps short or few texts from failing by chance.
+CLASS_DEVIATIONS, WORD_DEVIATIONS = 10.0, 2.5
+LEAST_CLASS_DEVIATION, LEAST_WORD_DEVIATION = 0.01, 0.04
+#: Median absolute deviation to standard deviation, and the steps in which distances are counted for the medians.
+TO_SIGMA, STEPS = 1.4826, 10000
 
 
 def let(value: Column, body) -> Column:
@@ -82,7 +90,7 @@ def features(docs: DataFrame) -> DataFrame:
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             repeat_words(w).alias("n_repeat_words"),
-            let(common, lambda f: F.array(*[(F.size(f) - F.size(F.array_remove(f, c))).cast("double") for c in COMMON_WORDS])).alias("word_histogram"),
+            let(common, lambda f: F.array(*[(F.size(f) - F.size(F.array_remove(f, c))).cast("double") for c in COMMON_WORDS], (F.size(w) - F.size(f)).cast("double"))).alias("word_histogram"),
         )
 
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
@@ -122,9 +130,31 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.when((total(p) > 0) & (total(q) > 0), let(sums, of))
 
 
+def limits(distances: DataFrame) -> DataFrame:
+    """For each ref_lang the limits of both distances; exact medians of the distances in steps, whatever the order of the rows."""
+    each = distances.select("ref_lang", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.round(F.col(k) * STEPS).cast("int").alias("b")) for k in ("class_distance", "word_distance")])).alias("x"))
+    bins = each.filter("x.b IS NOT NULL").groupBy("ref_lang", F.col("x.k").alias("k"), F.col("x.b").alias("b")).agg(F.count("*").alias("n"))
+    group = Window.partitionBy("ref_lang", "k")
+
+    def median(value: str) -> Column:
+        """The least value that half of the counted rows don't exceed."""
+        below = F.sum("n").over(group.orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        return F.when(2 * below >= F.sum("n").over(group), F.col(value))
+
+    bins = bins.withColumn("half", median("b")).withColumn("median", F.min("half").over(group)).withColumn("away", F.abs(F.col("b") - F.col("median")))
+    spread = bins.withColumn("half", median("away")).groupBy("ref_lang", "k").agg(F.first("median").alias("median"), F.min("half").alias("deviation"))
+
+    def limit(name: str, times: float, least: float, most: float) -> Column:
+        x = F.least(F.lit(most), F.col("median") / STEPS + times * TO_SIGMA * F.greatest(F.col("deviation") / STEPS, F.lit(least)))
+        return F.max(F.when(F.col("k") == f"{name}_distance", x)).alias(f"{name}_limit")
+
+    both = [limit("class", CLASS_DEVIATIONS, LEAST_CLASS_DEVIATION, MAX_CLASS_DISTANCE), limit("word", WORD_DEVIATIONS, LEAST_WORD_DEVIATION, MAX_WORD_DISTANCE)]
+    return spread.groupBy(F.col("ref_lang").alias("limit_lang")).agg(*both)
+
+
 def judge(feats: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``feats`` with its distances, base_failed and kept; it is read twice, so give a stored table."""
-    n_class, n_word = 6, len(COMMON_WORDS)
+    """``feats`` with its distances, base_failed and kept; it is read three times, so give a stored table."""
+    n_class, n_word = 6, len(COMMON_WORDS) + 1
     sums = [F.sum(F.col("class_histogram")[i]).alias(f"c{i}") for i in range(n_class)] + [F.sum(F.col("word_histogram")[i]).alias(f"w{i}") for i in range(n_word)]
     # stored, so that its true size decides between broadcasting it and shuffling
     refs = stored(
@@ -133,9 +163,10 @@ def judge(feats: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
     df = feats.join(refs, F.coalesce(feats["lang"], F.lit("\0")) == refs["ref_lang"], "left")
     df = df.withColumn("class_distance", F.when(total(F.col("class_histogram")) >= MIN_CHARS, js_distance(F.col("class_histogram"), F.col("ref_class"))))
-    df = df.withColumn("word_distance", F.when(total(F.col("word_histogram")) >= MIN_COMMON, js_distance(F.col("word_histogram"), F.col("ref_word"))))
+    df = df.withColumn("word_distance", F.when(F.col("n_words") >= MIN_JUDGED_WORDS, js_distance(F.col("word_histogram"), F.col("ref_word"))))
+    df = df.join(stored(limits(df), "quality-limits"), F.col("ref_lang") == F.col("limit_lang"), "left")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    near = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
+    near = F.coalesce(F.col("class_distance") <= F.col("class_limit"), F.lit(True)) & F.coalesce(F.col("word_distance") <= F.col("word_limit"), F.lit(True))
     df = df.withColumn("base_failed", failed).withColumn("kept", ~failed & near)
     return df.select("doc_id", "th", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
 

@@ -255,6 +255,20 @@ def test_quality_distance(spark):
     assert quality.keep_good(frame(spark, clean)).columns == SCHEMA.replace(",", "").split()[::2]
 
 
+def test_quality_finds_junk(spark):
+    rng = random.Random(8)
+    rare = lambda n: [f"{rng.choice('bdfgklmnprst')}{rng.choice('aeiou')}{rng.choice('bdfgklmnprst')}{rng.choice('aeiou')}{rng.choice(['', 'n', 'r'])}" for _ in range(n)]
+    text = lambda: " ".join(rng.choice(quality.COMMON_WORDS[:10]) if rng.random() < 0.35 else w for w in rare(150))
+    good = [(k, text(), "s") for k in range(60)]
+    junk = [(100 + k, " ".join(rare(300)), "s") for k in range(3)]  # no common word at all
+    junk += [(200 + k, " | ".join(rare(150)), "s") for k in range(3)]
+    junk += [(300 + k, " ".join(w + rng.choice(["###", "$$$", "%%%", "&&&"]) for w in text().split()), "s") for k in range(3)]
+    got = {r.doc_id: r for r in quality.quality(frame(spark, good + junk)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert all(got[d].kept == (d < 100) for d in got)
+    assert got[100].word_distance > quality.LEAST_WORD_DEVIATION  # judged although no common word stands in it
+
+
 def test_licenses(spark, docs):
     rows = docs + [(910, "x CC BY-NC 4.0 cc by. GENERAL public-license All rights reserved", "s"), (911, "foo Released under the MIT License. bar", "s"), (912, "It is licensed, under the Apache License; version 2.0 (c)", "s"), (913, "İK K all rights reserved", "s")]
     for r in licenses.license_scan(frame(spark, rows)).collect():
