@@ -4,7 +4,7 @@ The library spends most of its time cutting a text into pre-tokens and keeping a
 asks for.  Here the cut is done over whole batches with numpy, each distinct pre-token goes through the
 library once, and its ids are kept (bounded: the store is emptied when it is full).  The character
 classes come from the library's own regular expressions, so both agree on every code point.
-Texts that the batch path doesn't cover are encoded by the library as a whole.
+Texts that hold the string of an added token are encoded by the library as a whole.
 """
 
 from __future__ import annotations
@@ -34,9 +34,7 @@ def _load(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tok
+    return Tokenizer.from_file(path)
 
 
 def _class_table() -> np.ndarray:
@@ -122,6 +120,7 @@ class Encoder:
     def __init__(self, path: str):
         self.tok = _load(path)
         self.dropped = self.tok.normalizer is not None
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.reset()
 
     def reset(self) -> None:
@@ -180,6 +179,22 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, offsets of each text); None counts as empty."""
+        whole = [k for k, text in enumerate(texts) if text and any(a in text for a in self.added)]
+        if not whole:
+            return self._plain(texts)
+        rest = list(texts)
+        for k in whole:
+            rest[k] = ""
+        ids, offsets = self._plain(rest)
+        sizes, parts, last = np.diff(offsets), [], 0
+        for k in whole:
+            own = np.array(self.tok.encode(texts[k], add_special_tokens=False).ids, dtype=np.uint32)
+            parts += [ids[last : offsets[k]], own]
+            sizes[k], last = own.size, offsets[k]
+        return np.concatenate([*parts, ids[last:]]), np.concatenate([[0], np.cumsum(sizes)])
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without the string of an added token."""
         parts, counts, group, size = [], [], [], 0
         for text in texts:
             group.append(text or "")

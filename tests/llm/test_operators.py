@@ -49,6 +49,20 @@ def test_encoder_equals_the_library(name, docs):
         assert ids[at[k] : at[k + 1]].tolist() == e.tok.encode(t or "", add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_strings_of_added_tokens(name):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokenizer_path(name))
+    texts = ["plain first", "one<|endoftext|>two", None, "<|endoftext|>", " It's <|startoftext|> A <|endoftext|><|endoftext|>\n b ", "<|ENDOFTEXT|> <|endoftext |>", "", "É<|endoftext|>́x", "plain last"]
+    for some in (texts, texts[:1], texts[1:2], texts[::-1]):
+        ids, at = Encoder(tokenizer_path(name)).encode(some)
+        assert at.size == len(some) + 1 and at[-1] == ids.size
+        for k, t in enumerate(some):
+            assert ids[at[k] : at[k + 1]].tolist() == fresh.encode(t or "", add_special_tokens=False).ids, t
+    assert fresh.token_to_id("<|endoftext|>") in Encoder(tokenizer_path(name)).encode(["one<|endoftext|>two"])[0]
+
+
 def test_coder_round_trip():
     rng = np.random.default_rng(0)
     blocks = [rng.integers(0, MAX_ID + 1, rng.integers(1, 300)) for _ in range(20)] + [rng.zipf(1.3, BLOCK) % 60000, np.zeros(BLOCK, int), np.arange(BLOCK) % 7, np.full(BLOCK, MAX_ID), np.zeros(0, int)]
