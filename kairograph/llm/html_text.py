@@ -3,8 +3,8 @@
 A page is cut into blocks of text, each with its path of block-level tags from the root.  For every path
 text length and punctuation per block are aggregated, their product is given to the path's blocks,
 smoothed over neighbouring blocks in page order and compared with the deviation over the page.  The
-deepest element that holds most of the text of the blocks over the threshold is the content; all its
-blocks are returned, short ones too.  Elements that never hold an article's text (menus, headers,
+lowest element that holds all blocks over the threshold is the content, or the outermost article or main
+around it; all its blocks are returned, short ones too.  Elements that never hold an article's text (menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are left out before, by tag
 name, role, or class and id.
 
@@ -16,6 +16,7 @@ a page of any length is read to its end.
 from __future__ import annotations
 
 import html
+import os.path
 import re
 
 from pyspark.sql import DataFrame
@@ -38,17 +39,17 @@ MARKS = frozenset(
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _MARKED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
-#: Share of the content text that the chosen element must hold; part of the deviation that is the threshold.
-HELD, DEVIATIONS = 0.6, 0.5
+#: Part of the deviation that is the threshold.
+DEVIATIONS = 0.5
 
 
 def _marked(attributes: str) -> bool:
     return any(w in MARKS for m in _MARKED.finditer(attributes) for w in re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower()))
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str]]:
-    """(path of block tags, numbers of the holding elements, text) of each block of text in page order."""
-    out: list[tuple[tuple[str, ...], tuple[int, ...], str]] = []
+def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[tuple[int, str], ...], str]]:
+    """(path of block tags, numbers and tags of the holding elements, text) of each block of text in page order."""
+    out: list[tuple[tuple[str, ...], tuple[tuple[int, str], ...], str]] = []
     stack: list[tuple[str, bool, int]] = []  # tag, dropped, number
     buffer: list[str] = []
     at, number, dropped = 0, 0, 0
@@ -58,7 +59,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str]]:
             text = " ".join(html.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                out.append((tuple(t for t, _, _ in stack if t in BLOCKS), tuple(n for t, _, n in stack if t in HOLDERS), text))
+                out.append((tuple(t for t, _, _ in stack if t in BLOCKS), tuple((n, t) for t, _, n in stack if t in HOLDERS), text))
 
     def pop_to(k: int) -> None:
         nonlocal dropped
@@ -140,16 +141,11 @@ def main_text(page: str | None) -> str:
     smooth = [(wide[k] + 2 * wide[k + 1] + wide[k + 2]) / 4 for k in range(len(fused))]
     mean = sum(smooth) / len(smooth)
     limit = DEVIATIONS * (sum((x - mean) ** 2 for x in smooth) / len(smooth)) ** 0.5
-    held: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    total = 0
-    for (_, holders, text), x in zip(found, smooth, strict=True):
+    common = None  # the elements that hold all blocks over the threshold, from the root down
+    for (_, holders, _), x in zip(found, smooth, strict=True):
         if x >= limit:
-            total += len(text)
-            for d, n in enumerate(holders):
-                held[n] = held.get(n, 0) + len(text)
-                depth[n] = d
-    best = max((n for n in held if held[n] >= HELD * total), key=lambda n: (depth[n], held[n]), default=None)
+            common = holders if common is None else tuple(os.path.commonprefix([common, holders]))
+    best = next((h for h in common or () if h[1] in ("article", "main")), common[-1] if common else None)
     return "\n".join(text for _, holders, text in found if best is None or best in holders)
 
 

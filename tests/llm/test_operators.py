@@ -386,6 +386,15 @@ def test_html():
     assert html_text.main_text("<p>a < b &lt; c</p>") == "a < b < c"
 
 
+def test_html_keeps_the_whole_article():
+    long, short = "A long paragraph of the article, with commas, and more of it. " * 6, "A shorter paragraph, of the second part."
+    page = f"<body><div><article><h1>T</h1><p>Lead.</p><div class=body><p>{long}</p><p>{long}</p></div><p>End.</p></article></div></body>"
+    assert html_text.main_text(page).split("\n") == ["T", "Lead.", long.strip(), long.strip(), "End."]
+    for outer in ("article", "div"):
+        page = f"<body><{outer}><section><p>{long}</p><p>{long}</p></section><section><p>{long}</p><p>{short}</p></section></{outer}></body>"
+        assert html_text.main_text(page).split("\n") == [long.strip()] * 3 + [short]
+
+
 def test_html_pages(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x")], "page_id long, url string, html string, text string")
     got = {r.page_id: r for r in html_text.extract(df).collect()}
