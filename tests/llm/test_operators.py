@@ -395,6 +395,13 @@ def test_html_keeps_the_whole_article():
         assert html_text.main_text(page).split("\n") == [long.strip()] * 3 + [short]
 
 
+def test_html_stray_quotes():
+    assert html_text.main_text("""<p class="a"">First, of two.</p><p class="b"">Second one.</p>""") == "First, of two.\nSecond one."
+    assert html_text.main_text("""<p class="a"">Only one, here.</p>""") == "Only one, here."
+    assert html_text.main_text("""<p title = "a > b" id='c > d' it's>Text, here.</p>""") == "Text, here."
+    assert isinstance(html_text.main_text("<a" + ' x="1"' * 5000), str)
+
+
 def test_html_pages(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x")], "page_id long, url string, html string, text string")
     got = {r.page_id: r for r in html_text.extract(df).collect()}
