@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kairograph.exceptions import WrongInputFormat
+
 from .storage import materialised
 
 HOUR, DAY, WEEK = 3600, 86400, 7 * 86400
@@ -45,24 +47,26 @@ def net_bars(series: DataFrame, time: str = "bucket") -> DataFrame:
     return out.withColumn("base", base)
 
 
-def rollup(nodes: DataFrame, measures: list[str], root: str = "ROOT", hops: int = 64) -> DataFrame:
+def rollup(nodes: DataFrame, measures: list[str], root: str = "ROOT") -> DataFrame:
     """Sums over the subtree of each node, once for every path to it.  nodes: node, parent, measures; missing parents are made up with 0, no parent means ``root``.
 
-    Each round carries the last sums one step up; a node that comes back to itself is left out.
+    Each round carries the last sums one step up until none is left; a node that is its own parent has none, a longer cycle is an error.
     """
     filled = nodes.select("node", F.coalesce("parent", F.lit(root)).alias("parent"), *measures)
     made = filled.select(F.col("parent").alias("node")).distinct().join(filled.select("node").distinct(), "node", "left_anti")
     made = made.select("node", F.when(F.col("node") != root, root).alias("parent"), *[F.lit(0).cast(filled.schema[m].dataType).alias(m) for m in measures])
     every = materialised(filled.unionByName(made), "hierarchy")
-    edges = every.select("node", "parent").filter("parent is not null").distinct()
+    edges = every.select("node", "parent").filter("parent is not null and parent <> node").distinct()
     own = every.groupBy("node").agg(*[F.sum(m).alias(m) for m in measures])
     step = own.select(F.col("node").alias("from"), F.col("node").alias("at"), *measures)
     out = step
-    for _ in range(hops):
-        up = step.join(edges, F.col("at") == F.col("node")).filter(F.col("parent") != F.col("from")).select("from", F.col("parent").alias("at"), *measures)
+    while True:
+        up = step.join(edges, F.col("at") == F.col("node")).select("from", F.col("parent").alias("at"), *measures)
         step = materialised(up, "hierarchy")
         if step.isEmpty():
             break
+        if not step.filter(F.col("at") == F.col("from")).isEmpty():  # every node of a cycle comes back to itself
+            raise WrongInputFormat("the hierarchy has a cycle")
         out = out.unionByName(step)
     return out.groupBy(F.col("at").alias("node")).agg(*[F.sum(m).alias(m) for m in measures])
 

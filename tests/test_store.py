@@ -102,3 +102,15 @@ def test_plain_paths_are_refused_on_request(spark):
 def test_timestamped_query_is_cut_to_milliseconds():
     q, t = timestamp_query("SELECT * { ?s ?p ?o }", dt.datetime(2024, 1, 1, 0, 0, 0, 123999))
     assert t.microsecond == 123000 and "123" in str(q)
+
+
+def test_rollup_of_deep_and_of_cyclic_hierarchies(spark):
+    from kairograph.operators.timeseries import rollup
+
+    chain = [(f"n{k}", f"n{k + 1}" if k < 66 else None, 1) for k in range(67)]
+    got = {r.node: r.amount for r in rollup(spark.createDataFrame(chain, "node string, parent string, amount long"), ["amount"]).collect()}
+    assert got == {f"n{k}": k + 1 for k in range(67)} | {"ROOT": 67}
+    for rows in ([("c", "a", 1), ("a", "b", 1), ("b", "a", 1)], [("a", "b", 1), ("b", "c", 1), ("c", "a", 1)]):
+        with pytest.raises(WrongInputFormat):
+            rollup(spark.createDataFrame(rows, "node string, parent string, amount long"), ["amount"])
+    assert {r.node: r.amount for r in rollup(spark.createDataFrame([("a", "a", 1), ("b", "a", 2)], "node string, parent string, amount long"), ["amount"]).collect()} == {"a": 3, "b": 2}
