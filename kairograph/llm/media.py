@@ -100,10 +100,20 @@ def walk(data, start: int = 0, end: int | None = None, path: bytes = b""):
 
 
 def inspect(data: bytes) -> dict:
-    """Codec, duration and sample layout of the first track: chunk byte ranges and keyframe byte ranges (offset, length)."""
-    at: dict[bytes, tuple[int, int]] = {}
+    """What :func:`track` gives of the first track, and of each one under ``tracks``."""
+    boxes: list[dict[bytes, tuple[int, int]]] = []
     for path, a, b in walk(data):
-        at.setdefault(path.rpartition(b"/")[2], (a, b))
+        holder, _, kind = path.rpartition(b"/")
+        if kind == b"trak":
+            boxes.append({})
+        elif b"trak" in holder.split(b"/"):
+            boxes[-1].setdefault(kind, (a, b))
+    tracks = [track(data, at) for at in boxes]
+    return (tracks[0] if tracks else track(data, {})) | {"tracks": tracks}
+
+
+def track(data: bytes, at: dict[bytes, tuple[int, int]]) -> dict:
+    """Codec, duration and sample layout by the boxes of a track: chunk byte ranges and keyframe byte ranges (offset, length)."""
     out = {"codec": None, "timescale": None, "duration": None, "samples": None, "chunks": [], "keyframes": []}
     try:
         if b"mdhd" in at:

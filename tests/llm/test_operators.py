@@ -429,6 +429,17 @@ def test_media_of_damaged_files():
     assert media.inspect(b"")["codec"] is None
 
 
+def test_media_of_two_tracks():
+    def trak(codec, at, sizes, sync):
+        tables = [media.full_box(b"stsd", bytes(4), media.box(codec)), media.full_box(b"stsc", media.struct.pack(">IIII", 1, 1, len(sizes), 1)), media.full_box(b"stsz", media.struct.pack(f">II{len(sizes)}I", 0, len(sizes), *sizes)), media.full_box(b"stco", media.struct.pack(">II", 1, at))]
+        tables += [media.full_box(b"stss", media.struct.pack(f">I{len(sync)}I", len(sync), *sync))] if sync else []
+        return media.box(b"trak", media.box(b"mdia", media.box(b"minf", media.box(b"stbl", *tables))))
+
+    info = media.inspect(media.box(b"moov", trak(b"snd ", 500, [10, 20], None), trak(b"vid ", 600, [5, 6, 7], [1, 3])))
+    assert [(t["codec"], t["keyframes"]) for t in info["tracks"]] == [("snd ", [(500, 10), (510, 20)]), ("vid ", [(600, 5), (611, 7)])]
+    assert (info["codec"], info["keyframes"]) == ("snd ", [(500, 10), (510, 20)])
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
