@@ -61,6 +61,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def even_parts(spark: SparkSession, each: int = 4) -> np.ndarray:
+    """Numbers that ``repartition(shuffle_partitions(spark), number)`` deals out evenly: ``each`` to every partition."""
+    n = shuffle_partitions(spark)
+    numbers = np.arange(1 << 12, dtype=np.int64)
+    while True:
+        rows = spark.range(int(numbers.size)).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).toPandas()  # a few for each partition
+        order = rows.sort_values(["p", "id"]).reset_index(drop=True)
+        first = order[order.groupby("p").cumcount() < each]
+        if len(first) == n * each:
+            return first["id"].to_numpy(dtype=np.int64)
+        numbers = np.arange(2 * numbers.size, dtype=np.int64)
+
+
 #: 64-bit words of the filter that spares rows without a partner a shuffle; its size is fixed, a full one spares none.
 FILTER_WORDS = 1 << 18
 
@@ -92,6 +105,18 @@ def only_in(rows: DataFrame, bits) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
+def without(rows: DataFrame, bits) -> DataFrame:
+    """The rows that :func:`only_in` leaves out."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array(~in_filter(bits.value, batch.column(0).to_numpy())))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 #: 2**64 divided by the golden ratio, and the two multipliers of the splitmix64 finaliser (fixed values).
 GOLDEN, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 

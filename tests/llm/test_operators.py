@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from kairograph.llm import html_text, licenses, media, mixing, ngram_join, packing, pii, quality, repeats, token_files
 from kairograph.llm.graph import components
 from kairograph.llm.rangecoder import BLOCK, MAX_ID, decode_blocks, encode_blocks, read_stripes, write_stripes
+from kairograph.llm.shingles import Levels, most_apart
 from kairograph.llm.tokens import Encoder, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sequence_id string, kept int"
@@ -181,6 +182,36 @@ def test_ngram_join(spark, docs, width, percent):
     assert got == brute_join(rows, width, percent)
 
 
+@pytest.mark.parametrize("width, percent", [(3, 90), (5, 80)])
+def test_ngram_join_of_large_groups(spark, docs, width, percent, monkeypatch):
+    """Groups over one block are dealt anew and then compared block by block."""
+    monkeypatch.setattr(ngram_join, "MEMBERS", 48)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 4)
+    rows = near_copies(docs)
+    got = sorted((tuple(r) for r in ngram_join.jaccard_join(frame(spark, rows), width, percent).collect()), key=key)
+    assert got == brute_join(rows, width, percent)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_similar_sets_share_signatures(percent):
+    """As many as Levels promises, whatever is common."""
+    rng, levels = np.random.default_rng(8), Levels(percent)
+    for n in [4, 5, 9, 12, 30, 90, 250, 700] * 6:
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        n = a.size
+        drop = rng.integers(0, n * (100 - percent) // 100 + 1)
+        most = n * 100 // percent - n if not drop else 0
+        b = np.unique(np.concatenate([rng.choice(a, n - drop, replace=False), rng.integers(0, 1 << 63, most).astype(np.uint64)]))
+        both = np.intersect1d(a, b).size
+        if 100 * both < percent * (n + b.size - both) or n == b.size == both:
+            continue
+        common = np.zeros(4, dtype=np.uint64) if rng.random() < 0.5 else np.array([0x0F0F, 0, ~np.uint64(0), 5], dtype=np.uint64)
+        sig, who, odd = levels.signatures(np.concatenate([a, b]), np.array([0, n, n + b.size]), common)
+        shared = np.intersect1d(sig[who == 0], sig[who == 1]).size
+        level = np.searchsorted(levels.start, max(n, b.size), side="right") - 1
+        assert shared >= levels.buckets[level] - levels.slack[level] - most_apart(n, b.size, percent) or odd.all() and shared
+
+
 def test_ngram_join_on_nothing(spark, docs):
     assert ngram_join.jaccard_join(frame(spark, docs).limit(0)).count() == 0
 
