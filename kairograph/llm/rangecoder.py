@@ -1,16 +1,20 @@
 """An adaptive context-mixing range coder for token ids.
 
-Ids are cut into blocks.  Every block starts from the same fresh model and carries checksums of its
-coded bytes and of its ids, so each can be read alone.  The next id is predicted by a mixture:
+The ids of a stripe share a table (:class:`Table`), stored once in its head: how often each id stands there
+(order 0), and by which id it is followed most often and how surely (order 1).  Ids are cut into blocks.
+Every block starts from the same fresh model and carries checksums of its coded bytes and of its ids, so
+each can be read alone with the head.  The next id is predicted by a mixture:
 
-    P(x) = w2 [x = c2] + w1 [x = c1] + w0 P0(x)
+    P(x) = w [x = c] + (1 - w) P0(x)
 
-c2 and c1 are the ids that last followed the same two ids and the same one id (orders 2 and 1), P0 is an
-order-0 distribution over classes of ids whose counts adapt.  The weights come from adaptive hit rates
-for each pair of confidences of the two predictions.  One interval of a carry-less range coder (64-bit
-state, 16-bit words) codes each id.  Everything is integer arithmetic, so all machines agree.
+c is the id that followed the same two ids in this block before (order 2), if there is one, and else the
+table's follower of the last id (order 1); P0 is the table's order 0.  The weights w are hit rates that
+adapt in the block, one for each degree of confidence in c, and so does the table of order 2: a guess that
+was right more than once stays for a miss.  One interval of a carry-less range coder (64-bit state, 16-bit
+words) codes each id.  Everything is integer arithmetic, so all machines agree.
 
-Blocks are coded side by side: one step of numpy work handles the same position of every block.
+Blocks are coded side by side: one step of numpy work handles the same position of every block.  Ids are
+unsigned 32-bit numbers, at most MOST_IDS different ones in a stripe.
 """
 
 from __future__ import annotations
@@ -22,160 +26,192 @@ import numpy as np
 
 BLOCK = 2048
 #: Blocks worked on side by side.
-LANES = 2048
-MAX_ID = (1 << 17) - 1
+LANES = 4096
 
 _U, _U32 = np.uint64, np.uint32
-_HASH_BITS = 11
-_SLOTS = 1 << _HASH_BITS
-_ID_BITS = 18
-_ID_MASK = (1 << _ID_BITS) - 1
-_CLASSES = 128
-_REBUILD = {8, 16, 32, 64, 128} | set(range(256, BLOCK, 256))
-_TOTAL = 39  # bits of an interval: 12 for the mixture, 12 for the class, 15 inside it
+_SLOT_BITS = 11
+_SLOTS = 1 << _SLOT_BITS
+_GUESS_BITS = 28  # of an entry of order 2; above them its confidence
+_GUESS = (1 << _GUESS_BITS) - 1
+_WEIGHT_BITS, _COUNT_BITS = 12, 20
+_WEIGHT, _COUNT = 1 << _WEIGHT_BITS, 1 << _COUNT_BITS
+_TOTAL = _WEIGHT_BITS + _COUNT_BITS  # bits of an interval
 _SMALL, _TOP = _U(1 << 40), _U(1 << 48)
-
-
-def _class_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """class of an id, first id of a class, bits inside a class: eight classes to an octave."""
-    first, bits = list(range(8)), [0] * 8
-    k = 3
-    while first[-1] + (1 << bits[-1]) <= MAX_ID:
-        for j in range(8):
-            first.append((8 + j) << (k - 3))
-            bits.append(k - 3)
-        k += 1
-    first, bits = np.array(first[:_CLASSES]), np.array(bits[:_CLASSES])
-    of = np.searchsorted(first, np.arange(MAX_ID + 1), side="right") - 1
-    return of.astype(np.int64), np.pad(first, (0, _CLASSES - first.size)), np.pad(bits, (0, _CLASSES - bits.size))
-
-
-_CLASS_OF, _CLASS_FIRST, _CLASS_BITS = _class_tables()
+MOST_IDS = _COUNT // 2
+
+#: Degrees of sureness of order 1 (upper bounds of the follower's share, in 4096ths) and where the weights begin.
+_SURE = np.array([8, 16, 32, 64, 128, 256, 400, 600, 900, 1200, 1600, 2100, 2700, 3300, 3900, 4097])
+_DEGREES = _SURE.size
+#: A follower that was seen less often tells nothing.
+_LEAST_FOLLOWED = 4
+
+
+class Table:
+    """What the blocks of a stripe share.  ids: the different ones, ascending; the coder works with their places."""
+
+    def __init__(self, ids: np.ndarray, count: np.ndarray, follower: np.ndarray, degree: np.ndarray):
+        self.ids, self.count, self.follower, self.degree = ids, count, follower, degree
+        self.below = np.cumsum(count) - count
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> tuple[Table, np.ndarray]:
+        """The table of a stripe and the places of its ids."""
+        if ids.size and int(ids.max()) < max(_COUNT, 8 * ids.size):  # small numbers: count instead of sorting
+            n = np.bincount(ids)
+            known = np.flatnonzero(n)
+            place, n = (np.cumsum(n > 0) - 1)[ids], n[known]
+        else:
+            known, place, n = np.unique(ids, return_inverse=True, return_counts=True)
+        if known.size > MOST_IDS:
+            raise ValueError(f"more than {MOST_IDS} different ids in a stripe")
+        count = np.maximum(1, n * (_COUNT - known.size) // max(1, ids.size))
+        if count.size:
+            count[np.argmax(count)] += _COUNT - int(count.sum())
+        follower, degree = np.zeros(known.size, dtype=np.int64), np.zeros(known.size, dtype=np.int64)
+        if place.size > 1:
+            pair = np.sort(place[:-1] * known.size + place[1:])
+            first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+            seen, pair = np.diff(np.append(first, pair.size)), pair[first]
+            one = pair // known.size
+            order = np.lexsort((pair, -seen, one))
+            best = order[np.concatenate([[True], one[order][1:] != one[order][:-1]])]
+            best = best[seen[best] >= _LEAST_FOLLOWED]
+            share = seen[best] * _WEIGHT // n[one[best]]
+            follower[one[best]], degree[one[best]] = pair[best] % known.size, np.searchsorted(_SURE, share, side="right")
+        return cls(known, count, follower, degree), place
+
+    def to_bytes(self) -> bytes:
+        columns = (np.diff(self.ids.astype(np.int64), prepend=0).astype("<u4"), self.count.astype("<u4"), np.where(self.degree > 0, self.follower, 0).astype("<u4"), self.degree.astype(np.uint8))
+        return struct.pack("<I", self.ids.size) + zlib.compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(c.size, c.itemsize).T.tobytes() for c in columns), 6)
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> Table:
+        n = struct.unpack_from("<I", raw)[0]
+        data, at, columns = np.frombuffer(zlib.decompress(raw[4:]), dtype=np.uint8), 0, []
+        for width in (4, 4, 4, 1):
+            rows = np.ascontiguousarray(data[at : at + n * width].reshape(width, n).T)
+            columns.append(rows.view("<u4").ravel().astype(np.int64) if width == 4 else rows.ravel().astype(np.int64))
+            at += n * width
+        return cls(np.cumsum(columns[0]), *columns[1:])
+
+
+def _joined(tables: list[Table]):
+    """(start of each table, counts, sums below, followers, degrees) of several tables behind each other."""
+    start = np.cumsum([0, *(t.ids.size for t in tables)])
+    kinds = {"count": np.int64, "below": np.int64, "follower": np.int32, "degree": np.int32}
+    return start, *(np.concatenate([getattr(t, c) for t in tables]).astype(kind) for c, kind in kinds.items())
+
+
+#: Weights that a block begins with: by degree for a guess of order 1, then for one of order 2 by its confidence (1 to 3).
+_FIRST = np.array([4, 12, 24, 48, 96, 192, 320, 500, 750, 1050, 1400, 1850, 2400, 3000, 3600, 4000, 600, 1800, 2800], dtype=np.int32)
+_KINDS = 32
+_GOAL = np.array([8, _WEIGHT - 8], dtype=np.int32)
+#: Confidence after a miss and after a hit; the entry of a fresh guess.
+_AFTER = np.array([1, 1, 1, 2, 1, 2, 3, 3], dtype=np.int32) << _GUESS_BITS
 
 
 class _Model:
-    """What coder and decoder know of n blocks; lanes are ordered by falling length, the first ``a`` are active."""
+    """What coder and decoder know of n blocks; lanes are ordered by falling length, the first ``a`` are active.  two: the id before the last one, times a number."""
 
     def __init__(self, n: int):
-        self.last = np.zeros(n * _SLOTS, dtype=np.int32)
         self.pair = np.zeros(n * _SLOTS, dtype=np.int32)
-        prior2 = np.array([96, 1400, 2300, 3000])[np.arange(32) >> 2 & 3]
-        prior1 = np.array([64, 500, 1000, 1700])[np.arange(32) & 3]
-        self.hit2 = np.tile(prior2.astype(np.int32), n)
-        self.hit1 = np.tile(prior1.astype(np.int32), n)
-        self.counts = np.full(n * _CLASSES, 4, dtype=np.int32)
-        self.one, self.two = np.zeros(n, dtype=np.uint32), np.zeros(n, dtype=np.uint32)
+        self.weight = np.tile(np.pad(_FIRST, (0, _KINDS - _FIRST.size)), n)
         lanes = np.arange(n, dtype=np.int64)
-        self.slot_base, self.mix_base, self.class_base, self.cum_base = lanes * _SLOTS, lanes * 32, lanes * _CLASSES, lanes * (_CLASSES + 1)
-        self.cum = np.zeros(n * (_CLASSES + 1), dtype=np.int64)
-        self.rebuild(n)
-
-    def rebuild(self, a: int) -> None:
-        total = np.zeros((a, _CLASSES + 1), dtype=np.int64)
-        np.cumsum(self.counts.reshape(-1, _CLASSES)[:a], axis=1, out=total[:, 1:])
-        total *= 4096 - _CLASSES
-        total //= total[:, -1:] // (4096 - _CLASSES)
-        total += np.arange(_CLASSES + 1)
-        self.cum.reshape(-1, _CLASSES + 1)[:a] = total
-
-    def predict(self, a: int) -> None:
-        one, two = self.one[:a], self.two[:a]
-        h1 = one * _U32(0x9E3779B1)
-        h2 = one * _U32(0x85EBCA6B) + two * _U32(0xC2B2AE35)
-        self.i1 = self.slot_base[:a] + (h1 >> _U32(32 - _HASH_BITS))
-        self.i2 = self.slot_base[:a] + (h2 >> _U32(32 - _HASH_BITS))
-        self.e1, self.e2 = self.last.take(self.i1), self.pair.take(self.i2)
-        self.c1, self.c2 = self.e1 & _ID_MASK, self.e2 & _ID_MASK
-        self.k1, self.k2 = self.e1 >> _ID_BITS, self.e2 >> _ID_BITS
-        self.m = self.mix_base[:a] + ((self.k2 << 2) + self.k1 + ((self.c1 == self.c2) << 4))
-        self.w2, self.p1 = self.hit2.take(self.m), self.hit1.take(self.m)
-        self.w1 = ((4096 - self.w2) * self.p1 >> 12) + 1
-
-    def update(self, a: int, x: np.ndarray, is2: np.ndarray, is1: np.ndarray, miss: np.ndarray, missed: np.ndarray) -> None:
-        """x: the ids; is2, is1: which prediction it was; missed: classes of those that neither gave, at ``miss``."""
-        self.hit2[self.m] = self.w2 + ((_RATE[is2.view(np.int8)] - self.w2) >> 4)
-        step = (_RATE[is1.view(np.int8)] - self.p1) >> 4
-        step *= ~is2
-        self.hit1[self.m] = self.p1 + step
-        self.counts[self.class_base[miss] + missed] += 24
-        self.pair[self.i2] = _aged(self.e2, self.c2, self.k2, x, is2)
-        self.last[self.i1] = _aged(self.e1, self.c1, self.k1, x, self.c1 == x)
-        self.two[:a] = self.one[:a]
-        self.one[:a] = x
-
-
-_RATE = np.array([16, 4080], dtype=np.int32)
-#: Confidence after a miss (0 to 3), after a hit (0 to 3); a prediction that was right more than once stays for one miss.
-_NEXT = np.array([1, 1, 1, 2, 1, 2, 3, 3], dtype=np.int32) << _ID_BITS
-
+        self.slot_base, self.kind_base = lanes * _SLOTS, (lanes * _KINDS).astype(np.int32)
+        self.one, self.two = np.zeros(n, dtype=np.uint32), np.zeros(n, dtype=np.uint32)
 
-def _aged(entry, guess, k, x, hit):
-    """The table entry after the id x: the guess kept or x in its place, with its new confidence."""
-    return np.where(hit | (k > 1), guess, x) | _NEXT.take(k + (hit << 2))
+    def guess(self, a: int, follower: np.ndarray, degree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(guessed places, weights), given order 1's."""
+        h = self.one[:a] * _U32(0x85EBCA6B)
+        h += self.two[:a]
+        h >>= _U32(32 - _SLOT_BITS)
+        self.at = self.slot_base[:a] + h
+        entry = self.pair.take(self.at)
+        self.sure = entry >> _GUESS_BITS
+        entry &= _GUESS
+        self.second = entry
+        own = self.sure > 0
+        kind = np.where(own, self.sure + (_DEGREES - 1), degree)
+        kind += self.kind_base[:a]
+        self.kind = kind
+        self.w = self.weight.take(kind)
+        return np.where(own, entry, follower), self.w
+
+    def learn(self, a: int, x: np.ndarray, hit: np.ndarray) -> None:
+        """x: the places that came; hit: whether they were the guesses."""
+        step = _GOAL.take(hit.view(np.int8))
+        step -= self.w
+        step >>= 5
+        step += self.w
+        self.weight[self.kind] = step
+        after = (self.second == x).view(np.int8) << 2
+        after = _AFTER.take(self.sure + after)
+        after |= np.where(self.sure > 1, self.second, x)
+        self.pair[self.at] = after
+        np.multiply(self.one[:a], _U32(0xC2B2AE35), out=self.two[:a])
+        self.one[:a] = x
 
 
-def _narrow(low, span, start, size, a):
-    r = span[:a] >> _U(_TOTAL)
-    low[:a] += r * start
-    span[:a] = r * size
+def _shifted(low: np.ndarray, span: np.ndarray, a: int):
+    """Lanes whose first 16 bits are settled, with their states, until there are none; low and span move on."""
+    l, s = low[:a], span[:a]
+    ready = np.flatnonzero(((l ^ (l + s - _U(1))) < _TOP) | (s < _SMALL))
+    while ready.size:
+        li, si = l[ready], s[ready]
+        same = (li ^ (li + si - _U(1))) < _TOP
+        si = np.where(same, si, (~li + _U(1)) & (_SMALL - _U(1)))
+        yield ready, li
+        li <<= _U(16)
+        si <<= _U(16)
+        l[ready], s[ready] = li, si
+        ready = ready[((li ^ (li + si - _U(1))) < _TOP) | (si < _SMALL)]
 
 
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Coded bytes of each block of ids."""
+def encode_blocks(blocks: list[np.ndarray], tables: list[Table], of: list[int]) -> list[bytes]:
+    """Coded bytes of each block of places in the table ``of`` it."""
     order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
     out: list[bytes] = [b""] * len(blocks)
+    joined = _joined(tables) if tables else None
     for at in range(0, len(order), LANES):
         some = order[at : at + LANES]
-        for k, data in zip(some, _encode([blocks[k] for k in some]), strict=True):
+        for k, data in zip(some, _encode([blocks[k] for k in some], joined, np.array([of[k] for k in some])), strict=True):
             out[k] = data
     return out
 
 
-def _encode(blocks: list[np.ndarray]) -> list[bytes]:
+def _encode(blocks: list[np.ndarray], tables, of: np.ndarray) -> list[bytes]:
+    start, count, below, follower, degree = tables
     n, sizes = len(blocks), np.array([len(b) for b in blocks])
     steps = int(sizes[0]) if n else 0
-    grid = np.zeros((steps, n), dtype=np.int32)
+    grid = np.zeros((steps + 1, n), dtype=np.int32)  # the first row: no id before
     for k, b in enumerate(blocks):
-        grid[: len(b), k] = b
+        grid[1 : len(b) + 1, k] = b
     active = np.searchsorted(-sizes, -np.arange(steps), side="left")
-    model = _Model(n)
+    model, base = _Model(n), start[of]
     low, span = np.zeros(n, dtype=np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
     lanes, words = [], []
     for t in range(steps):
         a = int(active[t])
-        if t in _REBUILD:
-            model.rebuild(a)
-        model.predict(a)
-        x = grid[t, :a]
-        is2 = x == model.c2
-        is1 = (x == model.c1) & ~is2
-        miss = np.flatnonzero(~(is2 | is1))
-        start = np.where(is2, 0, model.w2).astype(np.uint64) << _U(27)
-        size = np.where(is2, model.w2, model.w1).astype(np.uint64) << _U(27)
-        xm = x[miss].astype(np.int64)
-        cls = _CLASS_OF[xm]
-        both = (model.w2[miss] + model.w1[miss]).astype(np.int64)
-        c = model.cum_base[miss] + cls
-        below = model.cum[c]
-        f = model.cum[c + 1] - below
-        room = 15 - _CLASS_BITS[cls]
-        inner = (below << 15) + f * ((xm - _CLASS_FIRST[cls]) << room)
-        w0 = 4096 - both
-        start[miss] = ((both << 27) + w0 * inner).astype(np.uint64)
-        size[miss] = (w0 * (f << room)).astype(np.uint64)
-        _narrow(low, span, start, size, a)
-        while True:
-            l, s = low[:a], span[:a]
-            same = (l ^ (l + s - _U(1))) < _TOP
-            idx = np.flatnonzero(same | (s < _SMALL))
-            if not idx.size:
-                break
-            li, si = l[idx], s[idx]
-            si = np.where(same[idx], si, (~li + _U(1)) & (_SMALL - _U(1)))
-            lanes.append(idx.astype(np.uint16))
-            words.append((li >> _U(48)).astype(np.uint16))
-            low[idx], span[idx] = li << _U(16), si << _U(16)
-        model.update(a, x, is2, is1, miss, cls)
+        before, x = grid[t, :a], grid[t + 1, :a]
+        at = base[:a] + before
+        guess, w = model.guess(a, follower.take(at), degree.take(at))
+        hit = x == guess
+        here = base[:a] + x
+        wide = w.astype(np.int64)
+        rest = _WEIGHT - wide
+        wide <<= _COUNT_BITS
+        size = rest * count.take(here)
+        rest *= below.take(here)
+        rest += wide
+        np.copyto(size, wide, where=hit)
+        rest[hit] = 0
+        r = span[:a] >> _U(_TOTAL)
+        low[:a] += r * rest.view(np.uint64)
+        np.multiply(r, size.view(np.uint64), out=span[:a])
+        for ready, state in _shifted(low, span, a):
+            lanes.append(ready.astype(np.uint16))
+            words.append((state >> _U(48)).astype(np.uint16))
+        model.learn(a, x, hit)
     final = (low + (_SMALL - _U(1))) & ~(_SMALL - _U(1))
     for shift in (48, 32):
         lanes.append(np.arange(n, dtype=np.uint16))
@@ -187,18 +223,23 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     return [word[e0:e].tobytes() for e0, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
-def decode_blocks(data: list[bytes], sizes: list[int]) -> list[np.ndarray]:
-    """Ids of each block, given its coded bytes and its number of ids."""
+def decode_blocks(data: list[bytes], sizes: list[int], tables: list[Table], of: list[int]) -> list[np.ndarray]:
+    """Places of each block, given its coded bytes and its number of ids."""
     order = sorted(range(len(data)), key=lambda k: -sizes[k])
-    out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(data)
+    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(data)
+    joined = _joined(tables) if tables else None
+    # which id each count of a table belongs to
+    places = [np.repeat(np.arange(t.ids.size, dtype=np.int32), t.count) for t in tables]
+    places = np.concatenate(places) if places else None
     for at in range(0, len(order), LANES):
         some = order[at : at + LANES]
-        for k, ids in zip(some, _decode([data[k] for k in some], np.array([sizes[k] for k in some])), strict=True):
+        for k, ids in zip(some, _decode([data[k] for k in some], np.array([sizes[k] for k in some]), joined, places, np.array([of[k] for k in some])), strict=True):
             out[k] = ids
     return out
 
 
-def _decode(data: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
+def _decode(data: list[bytes], sizes: np.ndarray, tables, places: np.ndarray, of: np.ndarray) -> list[np.ndarray]:
+    start, count, below, follower, degree = tables
     n = len(data)
     steps = int(sizes[0]) if n else 0
     words = np.frombuffer(b"".join(d + bytes(8) for d in data), dtype="<u2").astype(np.uint64)
@@ -209,84 +250,72 @@ def _decode(data: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
     cursor += 4
     limit = words.size - 1
     active = np.searchsorted(-sizes, -np.arange(steps), side="left")
-    model = _Model(n)
+    model, base, counts_base = _Model(n), start[of], of.astype(np.int64) << _COUNT_BITS
     low, span = np.zeros(n, dtype=np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-    grid = np.zeros((steps, n), dtype=np.uint32)
-    top = _U((1 << _TOTAL) - 1)
+    grid = np.zeros((steps + 1, n), dtype=np.int32)
     for t in range(steps):
         a = int(active[t])
-        if t in _REBUILD:
-            model.rebuild(a)
-        model.predict(a)
+        at = base[:a] + grid[t, :a]
+        guess, w = model.guess(a, follower.take(at), degree.take(at))
         r = span[:a] >> _U(_TOTAL)
-        v = np.minimum((code[:a] - low[:a]) // r, top).astype(np.int64)
-        q = (v >> 27).astype(np.int32)
-        both = model.w2 + model.w1
-        is2 = q < model.w2
-        is1 = (q < both) & ~is2
-        miss = np.flatnonzero(q >= both)
-        x = np.where(is2, model.c2, model.c1)
-        start = np.where(is2, 0, model.w2).astype(np.uint64) << _U(27)
-        size = np.where(is2, model.w2, model.w1).astype(np.uint64) << _U(27)
-        bm = both[miss].astype(np.int64)
-        w0 = 4096 - bm
-        u = ((v[miss] - (bm << 27)) / w0).astype(np.int64)  # exact: below 2**39 over at most 2**12
-        want, base = u >> 15, model.cum_base[miss]
-        at = base.copy()
-        for step in (64, 32, 16, 8, 4, 2, 1):
-            ahead = at + step
-            np.copyto(at, ahead, where=model.cum.take(ahead) <= want)
-        cls = at - base
-        below = model.cum.take(at)
-        f = model.cum.take(at + 1) - below
-        room = 15 - _CLASS_BITS[cls]
-        inside = ((u - (below << 15)) / (f << room)).astype(np.int64)
-        inner = (below << 15) + f * (inside << room)
-        start[miss] = ((bm << 27) + w0 * inner).astype(np.uint64)
-        size[miss] = (w0 * (f << room)).astype(np.uint64)
-        x[miss] = _CLASS_FIRST[cls] + inside
-        grid[t, :a] = x
-        low[:a] += r * start
-        span[:a] = r * size
-        while True:
-            l, s = low[:a], span[:a]
-            same = (l ^ (l + s - _U(1))) < _TOP
-            idx = np.flatnonzero(same | (s < _SMALL))
-            if not idx.size:
-                break
-            li, si = l[idx], s[idx]
-            si = np.where(same[idx], si, (~li + _U(1)) & (_SMALL - _U(1)))
-            low[idx], span[idx] = li << _U(16), si << _U(16)
-            code[idx] = code[idx] << _U(16) | words[np.minimum(cursor[idx], limit)]
-            cursor[idx] += 1
-        model.update(a, x, is2, is1, miss, cls)
-    return [grid[:k, j] for j, k in enumerate(sizes.tolist())]
+        v = ((code[:a] - low[:a]) // r).view(np.int64)
+        np.minimum(v, (1 << _TOTAL) - 1, out=v)
+        wide = w.astype(np.int64)
+        rest = _WEIGHT - wide
+        wide <<= _COUNT_BITS
+        v -= wide
+        hit = v < 0
+        v[hit] = 0
+        v //= rest
+        v += counts_base[:a]
+        x = grid[t + 1, :a]
+        np.copyto(x, places.take(v))
+        np.copyto(x, guess, where=hit)
+        here = base[:a] + x
+        size = rest * count.take(here)
+        rest *= below.take(here)
+        rest += wide
+        np.copyto(size, wide, where=hit)
+        rest[hit] = 0
+        low[:a] += r * rest.view(np.uint64)
+        np.multiply(r, size.view(np.uint64), out=span[:a])
+        for ready, _ in _shifted(low, span, a):
+            code[ready] = code[ready] << _U(16) | words[np.minimum(cursor[ready], limit)]
+            cursor[ready] += 1
+        model.learn(a, x, hit)
+    return [grid[1 : k + 1, j] for j, k in enumerate(sizes.tolist())]
 
 
 # --- stripes: whole documents, in as many blocks as they need
 
-MAGIC = b"KTS1"
-
-
-def write_stripe(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, before: int) -> bytes:
-    """A stripe: magic, counts, ids before it in its file, documents, directory of the blocks, coded blocks; a checksum of all but the blocks."""
-    return write_stripes([(doc_ids, lengths, ids, before)])[0]
+MAGIC = b"KTS2"
 
 
 def write_stripes(stripes: list[tuple[list[int | None], np.ndarray, np.ndarray, int]]) -> list[bytes]:
-    """Several at once, so that more blocks are coded side by side."""
-    cuts = [[ids[a : a + BLOCK] for a in range(0, len(ids), BLOCK)] for _, _, ids, _ in stripes]
-    coded = encode_blocks([b for blocks in cuts for b in blocks])
+    """Stripes (document ids, lengths, ids, ids before it in its file) as bytes; several at once, so that more blocks are coded side by side.
+
+    A stripe is a magic number, counts, documents, the table, a directory of the blocks, and the coded blocks; a
+    checksum holds for all but these.
+    """
+    tables, cuts, of = [], [], []
+    for k, (_, _, ids, _) in enumerate(stripes):
+        table, place = Table.of(np.asarray(ids))
+        tables.append(table)
+        cuts.append([place[a : a + BLOCK] for a in range(0, len(place), BLOCK)])
+        of += [k] * len(cuts[-1])
+    coded = encode_blocks([b for blocks in cuts for b in blocks], tables, of)
     out, at = [], 0
-    for (doc_ids, lengths, ids, before), blocks in zip(stripes, cuts, strict=True):
+    for (doc_ids, lengths, ids, before), blocks, table in zip(stripes, cuts, tables, strict=True):
         mine = coded[at : at + len(blocks)]
         at += len(blocks)
-        null = np.array([d is None for d in doc_ids], dtype=np.uint8)
-        head = struct.pack("<QQQQ", before, len(doc_ids), len(ids), len(blocks))
-        head += np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes() + null.tobytes() + np.asarray(lengths, dtype="<u8").tobytes()
+        null, shared = np.array([d is None for d in doc_ids], dtype=np.uint8), table.to_bytes()
+        head = struct.pack("<QQQQQ", before, len(doc_ids), len(ids), len(blocks), len(shared))
+        head += np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes() + null.tobytes() + np.asarray(lengths, dtype="<u8").tobytes() + shared
         directory = np.zeros((len(blocks), 4), dtype="<u4")
-        for k, (b, c) in enumerate(zip(blocks, mine, strict=True)):
-            directory[k] = len(b), len(c), zlib.crc32(c), zlib.crc32(b.astype("<u4").tobytes())
+        raw = np.ascontiguousarray(ids, dtype="<u4")
+        for k, c in enumerate(mine):
+            part = raw[k * BLOCK : (k + 1) * BLOCK]
+            directory[k] = part.size, len(c), zlib.crc32(c), zlib.crc32(part.tobytes())
         head += directory.tobytes()
         out.append(MAGIC + struct.pack("<I", zlib.crc32(head)) + head + b"".join(mine))
     return out
@@ -294,18 +323,20 @@ def write_stripes(stripes: list[tuple[list[int | None], np.ndarray, np.ndarray,
 
 def read_stripes(data: list[bytes]) -> list[tuple[list[int | None], np.ndarray, np.ndarray, int]]:
     """(document ids, lengths, ids, ids before) of each stripe; a wrong checksum raises ValueError."""
-    heads, coded, sizes, sums = [], [], [], []
-    for raw in data:
+    heads, tables, coded, sizes, sums, of = [], [], [], [], [], []
+    for number, raw in enumerate(data):
         if raw[:4] != MAGIC:
             raise ValueError("not a stripe of token ids")
-        before, docs, n, blocks = struct.unpack_from("<QQQQ", raw, 8)
-        end = 40 + docs * 17 + blocks * 16
+        before, docs, _, blocks, shared = struct.unpack_from("<QQQQQ", raw, 8)
+        end = 48 + docs * 17 + shared + blocks * 16
         if zlib.crc32(raw[8:end]) != struct.unpack_from("<I", raw, 4)[0]:
             raise ValueError("checksum of a stripe's head")
-        doc_ids = np.frombuffer(raw, "<i8", docs, 40)
-        null = np.frombuffer(raw, np.uint8, docs, 40 + 8 * docs)
-        lengths = np.frombuffer(raw, "<u8", docs, 40 + 9 * docs).astype(np.int64)
-        directory = np.frombuffer(raw, "<u4", blocks * 4, 40 + 17 * docs).reshape(-1, 4)
+        doc_ids = np.frombuffer(raw, "<i8", docs, 48)
+        null = np.frombuffer(raw, np.uint8, docs, 48 + 8 * docs)
+        lengths = np.frombuffer(raw, "<u8", docs, 48 + 9 * docs).astype(np.int64)
+        at = 48 + 17 * docs
+        tables.append(Table.from_bytes(raw[at : at + shared]))
+        directory = np.frombuffer(raw, "<u4", blocks * 4, at + shared).reshape(-1, 4)
         for size, stored, check, ids_check in directory.tolist():
             part = raw[end : end + stored]
             end += stored
@@ -314,9 +345,9 @@ def read_stripes(data: list[bytes]) -> list[tuple[list[int | None], np.ndarray,
             coded.append(part)
             sizes.append(size)
             sums.append(ids_check)
+            of.append(number)
         heads.append(([None if z else d for d, z in zip(doc_ids.tolist(), null.tolist(), strict=True)], lengths, before, blocks))
-    decoded = decode_blocks(coded, sizes)
-    decoded = [np.ascontiguousarray(b, dtype="<u4") for b in decoded]
+    decoded = [np.ascontiguousarray(tables[k].ids[b], dtype="<u4") for k, b in zip(of, decode_blocks(coded, sizes, tables, of), strict=True)]
     for b, check in zip(decoded, sums, strict=True):
         if zlib.crc32(b.tobytes()) != check:
             raise ValueError("checksum of a block's ids")

@@ -1,4 +1,4 @@
-"""Token ids in files of checksummed, independently reset blocks (see ``rangecoder``).
+"""Token ids in files of checksummed, independently reset blocks (see ``rangecoder``).  Ids are unsigned 32-bit numbers.
 
 A dataset is a table in the shared folder with one row per stripe: file number, number in the file,
 number of ids, and the stripe's bytes.  Files hold ascending ranges of doc_id, stripes and documents
@@ -26,9 +26,9 @@ from .tokens import encoder, tokenizer_path
 
 END_ID = 0
 #: Ids after which a stripe ends.
-STRIPE_IDS = 1 << 20
+STRIPE_IDS = 1 << 22
 #: Ids coded side by side (about as many bytes of coded blocks are decoded together).
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 23
 
 FILE_SCHEMA = "file long, stripe long, n_ids long, data binary"
 
