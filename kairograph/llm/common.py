@@ -17,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where it is unset and all run on one machine."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="kairograph-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
@@ -37,14 +39,14 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage and survives lost executors.
 
     The files go to a fresh sub-folder, so a second call never mixes with a first one.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -74,6 +76,20 @@ def even_parts(spark: SparkSession, each: int = 4) -> np.ndarray:
         numbers = np.arange(2 * numbers.size, dtype=np.int64)
 
 
+def by_part(batches):
+    """(kind, data) lists of one part after the other; the batches are ordered by part."""
+    at, held = None, []
+    for batch in batches:
+        for part, kind, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if part != at:
+                if held:
+                    yield held
+                at, held = part, []
+            held.append((kind, raw))
+    if held:
+        yield held
+
+
 #: 64-bit words of the filter that spares rows without a partner a shuffle; its size is fixed, a full one spares none.
 FILTER_WORDS = 1 << 18
 
@@ -205,6 +221,11 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
+def is_space(data: np.ndarray) -> np.ndarray:
+    """Whether each byte is a space or one from tab to carriage return."""
+    return _SPACE[data]
+
+
 def ascii_lower(data: np.ndarray) -> np.ndarray:
     """A-Z to a-z, every other byte unchanged."""
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
