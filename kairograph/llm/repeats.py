@@ -13,7 +13,11 @@ each byte, so it is done in two steps:
 2. Only for runs with an anchor in common but other content each window is named and compared.
 
 Names are dealt to tasks by their value, and a slice of text sends each name once, with a mark if it holds
-it more often; so a passage that every document holds is no large group anywhere.
+it more often; so a passage that every document holds is no large group anywhere.  A task finishes one part
+of its names after the other.
+
+The same is done with words for symbols: PASSAGE words that also stand in another document are counted
+beside the removed bytes, since a passage of that many words may be shorter than LENGTH bytes.
 
 Defined results: texts are UTF-8 bytes, a null one is empty; matches never cross documents; repeated rows
 and equal texts are copies of each other; texts shorter than LENGTH stay; other columns are ignored; an
@@ -23,23 +27,26 @@ empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, in_filter, key_filter, mix64, only_in, prefix_hash, row_slices, shuffle_partitions, span_hash, stored, table, text_bytes
+from .common import arrow_batches, by_part, discard, even_parts, in_filter, is_space, key_filter, mix64, only_in, powers, prefix_hash, row_slices, shuffle_partitions, span_hash, stored, table, text_bytes, tidy, words_of
 
 LENGTH, GRAM = 400, 64
+#: Words of a passage that counts as shared between documents (over 50), and those of its anchors.
+PASSAGE, PASSAGE_GRAM = 51, 8
 _POSITION_BITS = 24
 #: Bytes of text worked on at once, window starts of one text at once, and bytes whose names are sent together.
 SLICE, PIECE, TOGETHER = 1 << 18, 1 << 20, 1 << 22
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, prefix: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(row, first window, last window, anchor's name, content's name) of each run; windows count from the row's start."""
+def runs(offsets: np.ndarray, prefix: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(row, first window, last window, anchor's name, content's name) of each run; windows count from the row's start.  offsets, prefix: the symbols' rows and prefix hashes."""
     width = length - gram + 1
-    n = data.size
+    n = prefix.size - 1
     none = tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     if n < length:
         return none
@@ -70,17 +77,55 @@ def runs(data: np.ndarray, offsets: np.ndarray, prefix: np.ndarray, length: int,
     return r, first - offsets[:-1][r], last - offsets[:-1][r], names[p], content
 
 
-def _pieces(batch, length: int):
-    """(text keys, start of the piece in its text, bytes, offsets) in slices small enough for the cache and for an anchor's position."""
+def byte_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, prefix hashes) of texts whose symbols are their bytes."""
+    return offsets, prefix_hash(data)
+
+
+def word_names(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, names) of the words of texts, runs without white space; a long text is hashed in pieces that end after white space."""
+    cuts = [0]
+    while data.size - cuts[-1] > 2 * PIECE:
+        at = cuts[-1] + PIECE
+        while at < data.size and not (space := np.flatnonzero(is_space(data[at : at + PIECE]))).size:
+            at += PIECE
+        cuts.append(min(data.size, at + (int(space[0]) + 1 if space.size else 0)))
+    cuts.append(data.size)
+    names, rows = [], []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        # rows that end inside the piece cut its words too
+        start, end, row = words_of(data[a:b], np.clip(offsets - a, 0, b - a))
+        names.append(span_hash(prefix_hash(data[a:b]), start, end))
+        rows.append(row)
+    return np.searchsorted(np.concatenate(rows), np.arange(offsets.size)), np.concatenate(names)
+
+
+def word_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, prefix hashes) of texts whose symbols are their words."""
+    at, names = word_names(data, offsets)
+    return at, _prefix(names)
+
+
+def _prefix(names: np.ndarray) -> np.ndarray:
+    out = np.zeros(names.size + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(names * powers(names.size), out=out[1:])
+    return out
+
+
+def _pieces(batch, length: int, symbols):
+    """(text keys, start of the piece in its text, offsets, prefix hashes) in slices small enough for the cache and for an anchor's position."""
     for some in row_slices(batch, 1, SLICE):
         data, offsets, _ = text_bytes(some.column(1))
         t = some.column(0).to_numpy().view(np.uint64)
         if data.size <= PIECE:
-            yield t, 0, data, offsets
+            yield t, 0, *symbols(data, offsets)
         else:  # one long text
-            for a in range(0, max(1, data.size - length + 1), PIECE):
-                part = data[a : a + PIECE + length - 1]
-                yield t, a, part, np.array([0, part.size])
+            by_words = symbols is word_symbols
+            long = word_names(data, offsets)[1] if by_words else data
+            for a in range(0, max(1, long.size - length + 1), PIECE):
+                part = long[a : a + PIECE + length - 1]
+                yield t, a, np.array([0, part.size]), _prefix(part) if by_words else prefix_hash(part)
 
 
 def _joined(t: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,13 +149,13 @@ def _unpack(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x >> 10, (x >> 10) + (x >> 1 & 511), (x & 1).astype(bool)
 
 
-def _dealt(name: np.ndarray, columns: list[np.ndarray], parts: int):
+def _dealt(name: np.ndarray, columns: list[np.ndarray], parts: np.ndarray):
     """(part, bytes of the columns) by the name's value."""
-    part = (name % np.uint64(parts)).astype(np.int64)
+    part = (name % np.uint64(parts.size)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     stacked, part = np.stack(columns)[:, order], part[order]
-    ends = np.searchsorted(part, np.arange(parts + 1))
-    return [(p, stacked[:, ends[p] : ends[p + 1]].tobytes()) for p in np.flatnonzero(np.diff(ends)).tolist()]
+    ends = np.searchsorted(part, np.arange(parts.size + 1))
+    return [(int(parts[p]), stacked[:, ends[p] : ends[p + 1]].tobytes()) for p in np.flatnonzero(np.diff(ends)).tolist()]
 
 
 _DEALT = "part long, kind long, data binary"
@@ -133,9 +178,19 @@ def _range_batch(t: np.ndarray, low: np.ndarray, high: np.ndarray, kind: np.ndar
 COVERED, ASKS, HELPS = 0, 1, 2
 
 
-def first_step(texts: DataFrame, length: int, gram: int) -> DataFrame:
+def _several(group: np.ndarray, t: np.ndarray, across: bool) -> np.ndarray:
+    """For each group of rows ordered by (group, text) whether it has more than one row, or rows of more than one text."""
+    if not across:
+        return np.bincount(group) > 1
+    other = np.zeros(int(group[-1]) + 1, dtype=bool)
+    k = np.flatnonzero((group[1:] == group[:-1]) & (t[1:] != t[:-1]))
+    other[group[k]] = True
+    return other
+
+
+def first_step(texts: DataFrame, length: int, gram: int, symbols, across: bool) -> DataFrame:
     """Ranges of windows of texts (t, text): COVERED, or to be compared window by window, as one that ASKS or only HELPS others."""
-    parts = 4 * shuffle_partitions(texts.sparkSession)
+    parts = even_parts(texts.sparkSession, 2)
 
     def sent(held: list[tuple[np.ndarray, ...]]):
         g, c, t, low, high = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -146,21 +201,22 @@ def first_step(texts: DataFrame, length: int, gram: int) -> DataFrame:
         new = np.ones(g.size, dtype=bool)
         new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
         group = np.cumsum(new) - 1
-        several = np.bincount(group) > 1  # a text that stands here twice counts twice
+        several = _several(group, t, across)
         full = several[group]
-        out = [(p, 0, raw) for p, raw in _dealt(g[new], [g[new], c[new], t[new], _pack(low[new], high[new], several)], parts)]
+        tell = new | ~full  # one of those that are answered here, and all others
+        out = [(p, 0, raw) for p, raw in _dealt(g[tell], [g[tell], c[tell], t[tell], _pack(low[tell], high[tell], full[tell])], parts)]
         ct, cl, ch = _joined(t[full], low[full], high[full])
         if ct.size:
-            out.append((int(ct[0] % np.uint64(parts)), 1, np.stack([ct, cl.astype(np.uint64), ch.astype(np.uint64)]).tobytes()))
+            out.append((int(parts[int(ct[0] % np.uint64(parts.size))]), 1, np.stack([ct, cl.astype(np.uint64), ch.astype(np.uint64)]).tobytes()))
         yield _blob_batch(out)
 
     def deal(batches):
         for batch in batches:
             held, size = [], 0
-            for t, at, data, offsets in _pieces(batch, length):
-                r, low, high, g, c = runs(data, offsets, prefix_hash(data), length, gram)
+            for t, at, offsets, prefix in _pieces(batch, length, symbols):
+                r, low, high, g, c = runs(offsets, prefix, length, gram)
                 held.append((g, c, t[r], low + at, high + at))
-                size += data.size
+                size += prefix.size
                 if size >= TOGETHER:
                     yield from sent(held)
                     held, size = [], 0
@@ -168,17 +224,14 @@ def first_step(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 yield from sent(held)
 
     def meet(batches):
-        sent: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for part, kind, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = np.frombuffer(raw, dtype=np.uint64)
-                if kind:
-                    x = x.reshape(3, -1)
-                    yield _range_batch(x[0].copy(), x[1].astype(np.int64), x[2].astype(np.int64), np.full(x.shape[1], COVERED, dtype=np.int64))
-                else:
-                    sent.setdefault(part, []).append(x.reshape(4, -1))
-        for part in list(sent):
-            g, c, t, packed = np.concatenate(sent.pop(part), axis=1)
+        for rows in by_part(batches):
+            for raw in (raw for kind, raw in rows if kind):
+                x = np.frombuffer(raw, dtype=np.uint64).reshape(3, -1)
+                yield _range_batch(x[0].copy(), x[1].astype(np.int64), x[2].astype(np.int64), np.full(x.shape[1], COVERED, dtype=np.int64))
+            held = [np.frombuffer(raw, dtype=np.uint64).reshape(4, -1) for kind, raw in rows if not kind]
+            if not held:
+                continue
+            g, c, t, packed = np.concatenate(held, axis=1)
             order = np.argsort(g, kind="stable")
             g = g[order]
             alone = np.ones(g.size, dtype=bool)
@@ -189,14 +242,13 @@ def first_step(texts: DataFrame, length: int, gram: int) -> DataFrame:
             if not g.size:
                 continue
             c, t, packed = c[order], t[order], packed[order]
-            order = np.lexsort((c, g))
+            order = np.lexsort((t, c, g))
             g, c, t, packed = g[order], c[order], t[order], packed[order]
             low, high, many = _unpack(packed)
             new = np.ones(g.size, dtype=bool)
             new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
             group = np.cumsum(new) - 1
-            count = np.bincount(group)
-            several = count > 1
+            several = _several(group, t, across)
             np.logical_or.at(several, group, many)
             full = several[group] & ~many
             if full.any():
@@ -207,21 +259,23 @@ def first_step(texts: DataFrame, length: int, gram: int) -> DataFrame:
             mixed = np.zeros(gg.size, dtype=bool)
             mixed[1:] |= gg[1:] == gg[:-1]
             mixed[:-1] |= gg[1:] == gg[:-1]
-            pick = first[mixed]
-            if pick.size:
-                yield _range_batch(t[pick], low[pick], high[pick], np.where(several[mixed], HELPS, ASKS).astype(np.int64))
+            # those not answered ask; of the others one helps
+            pick = (mixed & ~several)[group] | (new & (mixed & several)[group])
+            if pick.any():
+                yield _range_batch(t[pick], low[pick], high[pick], np.where(several[group][pick], HELPS, ASKS).astype(np.int64))
 
-    dealt = texts.mapInArrow(deal, _DEALT).repartition(shuffle_partitions(texts.sparkSession), "part")
+    dealt = texts.mapInArrow(deal, _DEALT).repartition(shuffle_partitions(texts.sparkSession), "part").sortWithinPartitions("part")
     return dealt.mapInArrow(meet, _RANGES)
 
 
-def second_step(asked: DataFrame, length: int) -> DataFrame:
+def second_step(asked: DataFrame, length: int, symbols, across: bool) -> DataFrame:
     """Covered ranges from comparing windows one by one; asked: t, text and the list of ranges."""
-    parts = 4 * shuffle_partitions(asked.sparkSession)
+    parts = even_parts(asked.sparkSession, 2)
 
     def named(some):
         """(name, text, window, whether it asks) of the windows in the ranges of a slice, each text once."""
         data, offsets, _ = text_bytes(some.column(1))
+        offsets, prefix = symbols(data, offsets)
         t = some.column(0).to_numpy().view(np.uint64)
         _, firsts = np.unique(t, return_index=True)
         lists = some.column(2)
@@ -236,11 +290,11 @@ def second_step(asked: DataFrame, length: int) -> DataFrame:
         owner = np.repeat(np.arange(n.size), n)
         start = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + low[owner]
         where = offsets[:-1][entry[owner]] + start
-        return span_hash(prefix_hash(data), where, where + length), t[entry[owner]], start, kind[owner] == ASKS
+        return span_hash(prefix, where, where + length), t[entry[owner]], start, kind[owner] == ASKS
 
     def sent(held: list[tuple[np.ndarray, ...]]):
         name, t, start, asks = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((start, t, name))
+        order = np.lexsort((~asks, start, t, name))
         name, t, start, asks = name[order], t[order], start[order], asks[order]
         keep = np.ones(name.size, dtype=bool)
         keep[1:] = (name[1:] != name[:-1]) | (t[1:] != t[:-1]) | (start[1:] != start[:-1])  # a text may be in two slices
@@ -250,14 +304,17 @@ def second_step(asked: DataFrame, length: int) -> DataFrame:
         new = np.ones(name.size, dtype=bool)
         new[1:] = name[1:] != name[:-1]
         group = np.cumsum(new) - 1
-        several = np.bincount(group) > 1
-        full = several[group] & asks
-        # one for each name; if several hold it here, all of them are answered already
-        tell = [name[new], t[new], (start[new] << 1 | (asks[new] & ~several)).astype(np.uint64)]
-        out = [(p, 0, raw) for p, raw in _dealt(name[new], tell, parts)]
+        found = _several(group, t, across)
+        np.logical_or.at(found, group, ~asks)  # what helps stands in several places
+        several = found[group]
+        full = several & asks
+        # one for each name that several hold, as all of them are answered here; else all
+        tell = new | ~several
+        tell = [name[tell], t[tell], (start[tell] << 2 | several[tell] << 1 | ~several[tell]).astype(np.uint64)]
+        out = [(p, 0, raw) for p, raw in _dealt(tell[0], tell, parts)]
         ct, cl, ch = _joined(t[full], start[full], start[full])
         if ct.size:
-            out.append((int(ct[0] % np.uint64(parts)), 1, np.stack([ct, cl.astype(np.uint64), ch.astype(np.uint64)]).tobytes()))
+            out.append((int(parts[int(ct[0] % np.uint64(parts.size))]), 1, np.stack([ct, cl.astype(np.uint64), ch.astype(np.uint64)]).tobytes()))
         yield _blob_batch(out)
 
     def deal(batches):
@@ -273,32 +330,32 @@ def second_step(asked: DataFrame, length: int) -> DataFrame:
                 yield from sent(held)
 
     def meet(batches):
-        sent: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for part, kind, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for rows in by_part(batches):
+            for raw in (raw for kind, raw in rows if kind):
                 x = np.frombuffer(raw, dtype=np.uint64).reshape(3, -1)
-                if kind:
-                    yield _range_batch(x[0].copy(), x[1].astype(np.int64), x[2].astype(np.int64), np.full(x.shape[1], COVERED, dtype=np.int64))
-                else:
-                    sent.setdefault(part, []).append(x)
-        for part in list(sent):
-            name, t, packed = np.concatenate(sent.pop(part), axis=1)
+                yield _range_batch(x[0].copy(), x[1].astype(np.int64), x[2].astype(np.int64), np.full(x.shape[1], COVERED, dtype=np.int64))
+            held = [np.frombuffer(raw, dtype=np.uint64).reshape(3, -1) for kind, raw in rows if not kind]
+            if not held:
+                continue
+            name, t, packed = np.concatenate(held, axis=1)
             order = np.lexsort((packed, t, name))
             name, t, packed = name[order], t[order], packed[order]
+            place = packed >> np.uint64(2)
+            new = np.ones(name.size, dtype=bool)
+            new[1:] = name[1:] != name[:-1]
+            group = np.cumsum(new) - 1
             # one place may have been sent by two copies of its text
-            again = (name[1:] == name[:-1]) & (t[1:] == t[:-1]) & (packed[1:] >> np.uint64(1) == packed[:-1] >> np.uint64(1))
-            keep = np.append(True, ~again) if name.size else np.zeros(0, bool)
-            name, t, packed = name[keep], t[keep], packed[keep]
-            equal = np.zeros(name.size, dtype=bool)
-            equal[1:] |= name[1:] == name[:-1]
-            equal[:-1] |= name[1:] == name[:-1]
-            full = equal & ((packed & np.uint64(1)) == 1)
+            again = np.zeros(name.size, dtype=bool)
+            again[1:] = ~new[1:] & (t[1:] == t[:-1]) & (place[1:] == place[:-1])
+            found = _several(group[~again], t[~again], across)
+            np.logical_or.at(found, group, (packed & np.uint64(2)) > 0)
+            full = found[group] & ((packed & np.uint64(1)) == 1)
             if full.any():
-                start = (packed[full] >> np.uint64(1)).astype(np.int64)
+                start = place[full].astype(np.int64)
                 ct, cl, ch = _joined(t[full], start, start)
                 yield _range_batch(ct, cl, ch, np.full(ct.size, COVERED, dtype=np.int64))
 
-    dealt = asked.mapInArrow(deal, _DEALT).repartition(shuffle_partitions(asked.sparkSession), "part")
+    dealt = asked.mapInArrow(deal, _DEALT).repartition(shuffle_partitions(asked.sparkSession), "part").sortWithinPartitions("part")
     return dealt.mapInArrow(meet, _RANGES)
 
 
@@ -306,58 +363,77 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def covered_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(t, low, high): ranges of windows of the texts (t, text) whose string also starts elsewhere."""
+def covered_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, symbols=byte_symbols, across: bool = False) -> DataFrame:
+    """(t, low, high): ranges of windows of the texts (t, text) whose string also starts elsewhere, or, with ``across``, in another text."""
     sc = texts.sparkSession.sparkContext
-    ranges = stored(first_step(texts, length, gram), "repeat-ranges")
+    ranges = stored(first_step(texts, length, gram, symbols, across), "repeat-ranges")
     done = ranges.filter(F.col("kind") == COVERED).select("t", "low", "high")
     open_ = ranges.filter(F.col("kind") != COVERED)
-    lists = open_.groupBy("t").agg(F.collect_list(F.struct("low", "high", "kind")).alias("ranges")).withColumnRenamed("t", "r_t")
+    # stored, so that Spark can split the join where many rows hold one text
+    lists = stored(open_.groupBy("t").agg(F.collect_list(F.struct("low", "high", "kind")).alias("ranges")).withColumnRenamed("t", "r_t"), "repeat-asked")
     some = only_in(texts, sc.broadcast(key_filter(open_)))
     asked = some.join(lists, some["t"] == lists["r_t"]).select("t", "text", "ranges")
-    return stored(done.unionByName(second_step(asked, length).select("t", "low", "high")), "repeat-covered")
+    covered = stored(done.unionByName(second_step(asked, length, symbols, across).select("t", "low", "high")), "repeat-covered")
+    discard(ranges)
+    discard(lists)
+    tidy(texts.sparkSession)
+    return covered
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
-    """Per document: its bytes, those removed, the removed runs, a digest of the rest, and the rest itself on request."""
-    arrow_batches(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id")).select(text_key(F.col("text")).alias("t"), "text", "doc_id")
-    ranges = covered_ranges(rows.select("t", "text"), length, gram)
-    bits = rows.sparkSession.sparkContext.broadcast(key_filter(ranges))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
+def _merged(ranges: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
+    """[start, end) of the maximal runs that windows in the ranges (low, high) cover."""
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(ranges):
+        if out and low <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], high + length)
+        else:
+            out.append((low, high + length))
+    return out
 
-    def measured(batches, listed: bool):
+
+_BYTES, _WORDS, _COPIED = 0, 1, 2
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, passage: int = PASSAGE, keep_text: bool = False) -> DataFrame:
+    """Per document: its bytes, those removed, the removed runs, a digest of the rest, the words in passages shared with other documents, and the rest itself on request."""
+    spark = docs.sparkSession
+    arrow_batches(spark)
+    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id")).select(text_key(F.col("text")).alias("t"), "text", "doc_id")
+    texts = rows.select("t", "text")
+    in_bytes = covered_ranges(texts, length, gram)
+    in_words = covered_ranges(texts, passage, max(1, min(PASSAGE_GRAM, passage)), word_symbols, across=True)
+    copied = rows.groupBy("t").count().filter("count > 1").select("t", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"))
+    ranges = reduce(DataFrame.unionByName, [x.withColumn("kind", F.lit(k)) for k, x in ((_BYTES, in_bytes), (_WORDS, in_words), (_COPIED, copied))])
+    lists = stored(ranges.groupBy("t").agg(F.collect_list(F.struct("kind", "low", "high")).alias("ranges")).withColumnRenamed("t", "r_t"), "repeat-lists")
+    for done in (in_bytes, in_words):
+        discard(done)
+    bits = spark.sparkContext.broadcast(key_filter(lists.select(F.col("r_t").alias("t"))))
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long" + (", kept binary" if keep_text else "")
+
+    def measured(batches):
         import pyarrow as pa
 
         for batch in batches:
-            if not listed:
+            if batch.num_columns == 3:  # not joined: the rows that have no ranges
                 batch = batch.filter(pa.array(~in_filter(bits.value, batch.column(0).to_numpy())))
             out = []
-            spans = batch.column(3).to_pylist() if listed else [None] * batch.num_rows
-            for raw, these in zip(batch.column(1).cast(pa.large_binary()).to_pylist(), spans, strict=True):
-                removed = count = at = 0
-                parts = []
-                for r in sorted((s["low"], s["high"]) for s in these or ()):
-                    a, b = r[0], r[1] + length
-                    if count and a <= end:
-                        if b > end:
-                            removed += b - end
-                            end = at = b
-                        continue
-                    parts.append(raw[at:a])
-                    count += 1
-                    removed += b - a
-                    end = at = b
-                kept = b"".join(parts) + raw[at:] if count else raw
-                out.append((len(raw), removed, count, hashlib.sha256(kept).hexdigest(), kept))
-            columns = list(zip(*out, strict=True)) if out else [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: 5 if keep_text else 4]
-            yield pa.RecordBatch.from_arrays([batch.column(2), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=False))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if keep_text else 5])
-
-    lists = ranges.groupBy("t").agg(F.collect_list(F.struct("low", "high")).alias("ranges")).withColumnRenamed("t", "r_t")
+            found = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
+            for raw, these in zip(batch.column(1).cast(pa.large_binary()).to_pylist(), found, strict=True):
+                gone = _merged([(s["low"], s["high"]) for s in these or () if s["kind"] == _BYTES], length)
+                kept = b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in gone)], [*(a for a, _ in gone), len(raw)], strict=True)) if gone else raw
+                if any(s["kind"] == _COPIED for s in these or ()):
+                    words = len(raw.split())  # of bytes: at space and tab to carriage return
+                    shared = words if words >= passage else 0
+                else:
+                    shared = sum(b - a for a, b in _merged([(s["low"], s["high"]) for s in these or () if s["kind"] == _WORDS], passage))
+                out.append((len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), shared, kept))
+            columns = list(zip(*out, strict=True)) if out else [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()][: 6 if keep_text else 5]
+            yield pa.RecordBatch.from_arrays([batch.column(2), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=False))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words", "kept"][: 7 if keep_text else 6])
+
     some = only_in(rows, bits)
     held = some.join(lists, some["t"] == lists["r_t"], "left").select("t", "text", "doc_id", "ranges")
-    return held.mapInArrow(lambda b: measured(b, True), schema).unionByName(rows.mapInArrow(lambda b: measured(b, False), schema))
+    return held.mapInArrow(measured, schema).unionByName(rows.mapInArrow(measured, schema))
 
 
 def op7_repeats(spark, sf_dir: str) -> DataFrame:
