@@ -1,12 +1,13 @@
 """Personal data by weak supervision.
 
 Four fixed patterns (e-mail, IP address, payment card, phone) give the base spans, which always stay.
-Looser candidate patterns give further spans, on which five labelers vote yes, no or nothing: the strict
+Looser candidate patterns give further spans.  On both five labelers vote yes, no or nothing: the strict
 form of the pattern, a gazetteer, cue words before the span, the mix of characters, and repetition.
 The vote patterns are counted over all documents; expectation-maximisation on these counts estimates how
-reliable each labeler is, and a logistic classifier is trained on its posteriors.  Its decision per vote
-pattern is applied to the candidates.  Both are fitted on a table of counts whose size the labelers bound
-(kinds x 3^5 x 4), not the data.
+reliable each labeler is (:func:`reliabilities`), and a logistic classifier is trained on its posteriors.
+Its decision per vote pattern is applied to the candidates.  Both are fitted on a table of counts whose size
+the labelers bound (kinds x 3^5 x 4), not the data.  Cue words are whole words among the last CUE_WORDS
+before the span.
 
 Defined results: a null or empty text has no spans; spans are code points, end exclusive; a candidate that
 touches a base span, or an earlier candidate, is dropped; repeated rows are treated one by one; other
@@ -30,7 +31,8 @@ KINDS = (*BASE_KINDS, "key", "secret", "ssn", "number", "name", "address")
 
 _LOCAL_TAIL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+# a match begins with a run of digits and takes whole runs, so other starts need no try
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: A local part is looked for in so many characters before the @ at first, and in more while it fills them.
@@ -80,12 +82,24 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 #: Gazetteers (fixed values).
 HONORIFICS = ("Mr", "Mrs", "Ms", "Dr", "Prof")
-FIRST_NAMES = frozenset("James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Richard Susan Joseph Jessica Thomas Sarah Anna Maria Paul Peter Marie Jean Pierre Hans Klaus Carlos Juan Luis Carmen".split())
+FIRST_NAMES = frozenset(
+    "James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen "
+    "Daniel Nancy Matthew Lisa Anthony Margaret Mark Betty Paul Sandra Steven Ashley Andrew Emily George Donna Edward Carol Brian Ruth Kevin Sharon "
+    "Anna Maria Peter Marie Jean Pierre Michel Philippe Sophie Isabelle Claire Julien Hans Klaus Jürgen Wolfgang Heike Petra Sabine Ursula Stefan Anja "
+    "Carlos Juan Luis Carmen José Antonio Manuel Francisco Javier Miguel Ana Isabel Pilar Laura Marta Lucia Pablo Diego Elena Rosa".split()
+)
 STREETS = ("Street", "St", "Avenue", "Ave", "Road", "Rd", "Lane", "Boulevard", "Drive")
 KEY_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "sk-", "xoxb-", "AIza")
 SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey")
-CUES = ("password", "key", "token", "secret", "credential", "call", "tel", "phone", "fax", "mobile", "ssn", "social", "contact", "name", "address", "lives at", "dear")
-COUNTER_CUES = ("version", "isbn", "page", "figure", "table", "section", "order", "item", "chapter", "issn", "sku")
+PLACEHOLDERS = frozenset("password passwd secret token none null true false required optional changeme example string value hidden redacted".split())
+TOP_DOMAINS = frozenset("com org net edu gov mil int info biz name io dev app co ai me tv eu us uk de fr es it nl be at ch pl se no dk fi pt ie cz ru ua cn jp kr in br mx ar au nz ca za".split())
+CALLING_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "94", "98")
+#: First digits of card numbers: Visa, American Express, Mastercard, Discover, JCB, UnionPay.
+ISSUERS = ("4", "34", "37", "51", "52", "53", "54", "55", "22", "23", "24", "25", "26", "27", "6011", "64", "65", "35", "62")
+CUES = frozenset("password passwd pwd key apikey token secret credential credentials login call tel telephone phone fax mobile ssn social security contact name address lives dear email mail mailto write ip server host card visa mastercard credit payment reach".split())
+COUNTER_CUES = frozenset("version v release isbn issn page figure table section order item chapter sku build part".split())
+#: Words before a span that are looked at for cues.
+CUE_WORDS = 6
 
 _KEY = re.compile(r"(?:AKIA|ASIA|ghp_|gho_|sk-|xoxb-|AIza)[A-Za-z0-9_-]{12,}")
 _ASSIGNED = re.compile(r"[=:]\x20?([^\s\"',;]{4,})")
@@ -122,30 +136,60 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
 LABELERS = 5
 
 
+_WORD = re.compile(r"[a-z]+")
+#: No more characters than this hold the words looked at for cues.
+_CUE_LOOK = 16 * CUE_WORDS
+
+
+def _cue(text: str, a: int) -> int:
+    """The vote of the words before position ``a``."""
+    low = max(0, a - _CUE_LOOK)
+    before = text[low:a].lower()
+    if low and before[:1].isalpha():  # the first word may be cut
+        before = before.lstrip("abcdefghijklmnopqrstuvwxyz")
+    words = _WORD.findall(before)[-CUE_WORDS:]
+    return 0 if any(w in COUNTER_CUES for w in words) else 1 if any(w in CUES for w in words) else 2
+
+
+_STRICT = {
+    "email": re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9_%+-]|\.(?!\.)){0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"),
+    "ip": re.compile(r"(?:[1-9]|[1-9][0-9]|1[0-9][0-9]|2[01][0-9]|22[0-3])(?:\.(?:0|[1-9][0-9]{0,2})){3}"),
+    "key": re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[po]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xoxb-[A-Za-z0-9-]{20,}|AIza[A-Za-z0-9_-]{35}"),
+    "ssn": re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}"),
+    "number": re.compile(r"\(?[2-9].*"),
+    "name": re.compile(r"\S+ \S+ \S+"),
+    "address": re.compile(r"[1-9][0-9]{0,4} .* (?:Street|Avenue|Road|Lane|Boulevard|Drive)"),
+}
+
+
 def votes(text: str, kind: str, a: int, b: int) -> tuple[int, ...]:
-    """1 yes, 0 no, 2 nothing, of each labeler."""
-    span, before = text[a:b], text[max(0, a - 40) : a].lower()
-    digits = [c for c in span if c.isdigit()]
-    strict = {
-        "key": bool(re.fullmatch(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[po]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xoxb-[A-Za-z0-9-]{20,}|AIza[A-Za-z0-9_-]{35}", span)),
-        "secret": len(span) >= 6,
-        "ssn": not (span[:3] in ("000", "666") or span[0] == "9" or span[4:6] == "00" or span[7:] == "0000"),
-        "number": bool(digits) and digits[0] not in "01",
-        "name": len(span.split()) >= 2,
-        "address": len(span.split()) >= 3,
-    }[kind]
-    if kind == "name":
-        gazetteer = 1 if any(w in FIRST_NAMES for w in span.split()) else 2
-    elif kind in ("key", "secret", "address"):
-        gazetteer = 1
+    """1 yes, 0 no, 2 nothing, of each labeler: strict form, gazetteer, cues, mix of characters, repetition."""
+    span = text[a:b]
+    digits = [c for c in span if "0" <= c <= "9"]
+    if kind in _STRICT:
+        strict = int(bool(_STRICT[kind].fullmatch(span)))
+    elif kind == "card":
+        strict = int(len(digits) == 16)
+    elif kind == "phone":
+        strict = int(9 <= len(digits) <= 13)
     else:
-        gazetteer = 2
-    context = 0 if any(c in before for c in COUNTER_CUES) else 1 if any(c in before for c in CUES) else 2
-    classes = sum((any(c.isdigit() for c in span), any(c.islower() for c in span), any(c.isupper() for c in span)))
-    mix = (1 if classes >= 2 else 0) if kind in ("key", "secret") else 2
+        strict = int(len(span) >= 6)
+    gazetteer = 2
+    if kind == "email":
+        gazetteer = 1 if span.rpartition(".")[2].lower() in TOP_DOMAINS else 2
+    elif kind == "card":
+        gazetteer = int("".join(digits).startswith(ISSUERS))
+    elif kind == "phone":
+        gazetteer = 1 if "".join(digits).startswith(CALLING_CODES) else 2
+    elif kind == "name":
+        gazetteer = 1 if any(w in FIRST_NAMES for w in span.split()) else 2
+    elif kind == "secret":
+        gazetteer = 0 if span.strip("<>[](){}*.").lower() in PLACEHOLDERS else 2
+    classes = sum((bool(digits), any(c.islower() for c in span), any(c.isupper() for c in span)))
+    mix = int(classes >= 2) if kind in ("key", "secret") else 2
     varied = len(set(digits or span))
     repetition = 0 if varied <= 2 else 1 if varied >= 5 else 2
-    return int(strict), gazetteer, context, mix, repetition
+    return strict, gazetteer, _cue(text, a), mix, repetition
 
 
 def key_of(kind: str, v: tuple[int, ...], length: int) -> int:
@@ -165,6 +209,10 @@ def key_parts(key: int) -> tuple[int, list[int], int]:
     return key, v[::-1], size
 
 
+#: So many votes the belief before any data counts.
+BELIEF = 10.0
+
+
 def em(counts: dict[int, int], rounds: int = 50) -> tuple[dict[int, float], np.ndarray, float]:
     """Posterior of each key, (labeler, truth) -> rate of yes votes among its votes, and the prior."""
     keys = sorted(counts)
@@ -178,7 +226,7 @@ def em(counts: dict[int, int], rounds: int = 50) -> tuple[dict[int, float], np.n
         post = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
         for t, w in ((0, n * (1 - post)), (1, n * post)):
             # a weak belief that labelers are right keeps rare votes from being turned round
-            rate[:, t] = (w @ yes + (8, 32)[t] * 1.0) / (w @ (yes | no) + 40)
+            rate[:, t] = (w @ yes + BELIEF * (0.2, 0.8)[t]) / (w @ (yes | no) + BELIEF)
         prior = min(0.99, max(0.01, (n @ post + 1) / (n.sum() + 2)))
     return dict(zip(keys, post.tolist(), strict=True)), rate, prior
 
@@ -196,7 +244,7 @@ def train(counts: dict[int, int], rounds: int = 300) -> dict[int, bool]:
         for j, vote in enumerate(v):
             if vote < 2:
                 x[r, 1 + len(KINDS) + 2 * j + vote] = 1
-    n = np.array([counts[k] for k in keys], dtype=float)
+    n = np.log1p(np.array([counts[k] for k in keys], dtype=float))  # a pattern counts by its order of magnitude, so that rare kinds are learnt too
     n, y, w = n / n.sum(), np.array([post[k] for k in keys]), np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
@@ -208,7 +256,13 @@ def _text_column(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-FOUND_SCHEMA = "doc_id long, base array<struct<kind: int, start: long, end: long>>, candidates array<struct<kind: int, start: long, end: long, key: int>>"
+def reliabilities(counts: dict[int, int]) -> dict[str, tuple[float, float]]:
+    """For each labeler the estimated share of yes votes on spans that are none, and on true ones."""
+    _, rate, _ = em(counts)
+    return dict(zip(("strict", "gazetteer", "cues", "mix", "repetition"), map(tuple, rate.tolist()), strict=True))
+
+
+FOUND_SCHEMA = "doc_id long, base array<struct<kind: int, start: long, end: long, key: int>>, candidates array<struct<kind: int, start: long, end: long, key: int>>"
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -217,23 +271,28 @@ def find(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        spot = [("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]
+        spans = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("key", pa.int32())]))
+        voted = lambda text, found: [{"kind": KINDS.index(k), "start": s, "end": e, "key": key_of(k, votes(text, k, s, e), e - s)} for k, s, e in found]
         for batch in batches:
             base, more = [], []
             for text in batch.column(1).to_pylist():
-                text = text or ""
-                b = base_spans(text)
-                base.append([{"kind": BASE_KINDS.index(k), "start": s, "end": e} for k, s, e in b])
-                more.append([{"kind": KINDS.index(k), "start": s, "end": e, "key": key_of(k, votes(text, k, s, e), e - s)} for k, s, e in candidates(text, b)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, pa.list_(pa.struct(spot))), pa.array(more, pa.list_(pa.struct([*spot, ("key", pa.int32())])))], ["doc_id", "base", "candidates"])
+                b = base_spans(text or "")
+                base.append(voted(text, b))
+                more.append(voted(text, candidates(text or "", b)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, spans), pa.array(more, spans)], ["doc_id", "base", "candidates"])
 
     return _text_column(docs).mapInArrow(run, FOUND_SCHEMA)
 
 
+def pattern_counts(found: DataFrame) -> dict[int, int]:
+    """How often each vote pattern stands, base spans included; bounded by the number of patterns."""
+    rows = found.select(F.explode(F.concat("base.key", "candidates.key")).alias("key")).groupBy("key").count().collect()
+    return {r["key"]: r["count"] for r in rows}
+
+
 def decide(found: DataFrame) -> dict[int, bool]:
-    """The classifier's decision per vote pattern, from counts over all candidates."""
-    rows = found.select(F.explode("candidates.key").alias("key")).groupBy("key").count().collect()  # bounded by the number of patterns
-    return train({r["key"]: r["count"] for r in rows})
+    """The classifier's decision per vote pattern, from counts over all spans."""
+    return train(pattern_counts(found))
 
 
 def pii(docs: DataFrame) -> DataFrame:
@@ -243,12 +302,12 @@ def pii(docs: DataFrame) -> DataFrame:
 
     def text(spans, names):
         kinds = F.array(*[F.lit(n) for n in names])
-        return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
+        return F.array_join(F.transform(F.array_sort(F.transform(spans, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))), lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
     kept = F.filter("candidates", lambda x: x["key"].isin(good)) if good else F.filter("candidates", lambda x: F.lit(False))
-    every = F.concat("base", F.transform(kept, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))))
+    every = F.concat("base", kept)
     counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(BASE_KINDS)]
-    return found.select("doc_id", *counts, F.sha2(text(F.col("base"), BASE_KINDS), 256).alias("base_sha256"), text(every, KINDS).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(text(F.col("base"), BASE_KINDS), 256).alias("base_sha256"), text(every, KINDS).alias("spans"), F.size(every).cast("long").alias("n_spans"))
 
 
 def _of_kind(k: int):
@@ -257,7 +316,7 @@ def _of_kind(k: int):
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every found span replaced by its kind in brackets; n_chars follows the text, all columns stay."""
-    counted = stored(find(docs).select("candidates"), "pii-votes")
+    counted = stored(find(docs).select("base", "candidates"), "pii-votes")
     good = {k for k, yes in decide(counted).items() if yes}
     discard(counted)
     place, schema = docs.columns.index("text"), docs.schema
