@@ -1,30 +1,34 @@
 """ISO media containers as a binary column.
 
 A payload of 8-bit samples is written as one sound track of an ISO base media file (boxes ftyp, moov,
-mdat; sample tables stts, stsc, stsz, stco, stss).  :func:`inspect` walks nested boxes of any such file,
-decodes the sample tables and gives codec, duration and the byte ranges of keyframes; payload bytes are
-sliced, never decoded.
+mdat; sample tables stts, stsc, stsz, stco), and the files are stored in the shared folder.
+:func:`inspect` walks nested boxes of any such file, decodes the sample tables and gives codec, duration and
+the byte ranges of keyframes; payload bytes are sliced, never decoded.  Without a table of sync samples all
+are: each sample is a keyframe, and where all have one size the samples of a chunk are one range.
 
 Defined results: a null text counts as empty; equal texts give equal files and features; repeated rows
 give repeated results; other columns are ignored; an empty table gives no rows; a box that runs past its
-parent, or a missing table, ends the walk of that branch and gives null fields instead of an error.
+parent ends the walk of that branch, and a missing, short or senseless table gives null fields or no ranges
+instead of an error, at any depth of nesting.
 Files over 4 GB use 64-bit box sizes and chunk offsets.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import json
 import struct
 import zlib
 
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import stored, table
 
 UNIT = 64
 RATE = 8000
-#: Samples (bytes) in a chunk; each chunk starts with a sync sample.
+#: Samples (bytes) in a chunk.
 CHUNK = 4096
 #: Boxes that hold boxes (fixed values of the format).
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"moof", b"traf", b"mvex"}
@@ -68,7 +72,6 @@ def mux(payload: bytes) -> bytes:
             full_box(b"stsc", struct.pack(">I", len(runs)), *(struct.pack(">III", *r) for r in runs)),
             full_box(b"stsz", struct.pack(">II", 1, n)),
             full_box(b"co64" if wide else b"stco", struct.pack(">I", chunks), struct.pack(f">{chunks}{'Q' if wide else 'I'}", *at)),
-            full_box(b"stss", struct.pack(">I", chunks), struct.pack(f">{chunks}I", *(1 + CHUNK * k for k in range(chunks)))),
         )
         minf = box(b"minf", full_box(b"smhd", bytes(4)), box(b"dinf", full_box(b"dref", struct.pack(">I", 1), full_box(b"url ", flags=1))), stbl)
         mdia = box(b"mdia", full_box(b"mdhd", struct.pack(">IIIIHH", 0, 0, RATE, n & 0xFFFFFFFF, 0x55C4, 0)), full_box(b"hdlr", bytes(4), b"soun", bytes(12), b"samples\0"), minf)
@@ -80,78 +83,94 @@ def mux(payload: bytes) -> bytes:
     return head(size) + box(b"mdat", payload)
 
 
-def walk(data, start: int = 0, end: int | None = None, path: bytes = b""):
-    """(path, body start, body end) of every box, depth first; stops a branch at a size that doesn't fit."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+def walk(data):
+    """(depth, kind, body start, body end) of every box, depth first; leaves a box at a size that doesn't fit."""
+    start, ends = 0, [len(data)]
+    while ends:
+        if start + 8 > ends[-1]:
+            start = ends.pop()
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
-        if size == 1 and start + 16 <= end:
+        if size == 1 and start + 16 <= ends[-1]:
             size, body = struct.unpack_from(">Q", data, body)[0], body + 8
         elif size == 0:
-            size = end - start
-        if size < body - start or start + size > end:
-            return
-        here = path + b"/" + kind
-        yield here, body, start + size
+            size = ends[-1] - start
+        if size < body - start or start + size > ends[-1]:
+            start = ends.pop()
+            continue
+        yield len(ends) - 1, kind, body, start + size
         if kind in CONTAINERS:
-            yield from walk(data, body, start + size, here)
-        start += size
+            ends.append(start + size)
+            start = body
+        else:
+            start += size
 
 
 def inspect(data: bytes) -> dict:
     """What :func:`track` gives of the first track, and of each one under ``tracks``."""
     boxes: list[dict[bytes, tuple[int, int]]] = []
-    for path, a, b in walk(data):
-        holder, _, kind = path.rpartition(b"/")
-        if kind == b"trak":
+    inside = None  # depth of the track that the walk is in
+    for depth, kind, a, b in walk(data):
+        if inside is not None and depth <= inside:
+            inside = None
+        if kind == b"trak" and inside is None:
             boxes.append({})
-        elif b"trak" in holder.split(b"/"):
+            inside = depth
+        elif inside is not None:
             boxes[-1].setdefault(kind, (a, b))
     tracks = [track(data, at) for at in boxes]
     return (tracks[0] if tracks else track(data, {})) | {"tracks": tracks}
 
 
+def _table(data: bytes, at: dict[bytes, tuple[int, int]], kind: bytes, form: str, skip: int = 4) -> list[tuple]:
+    """The entries of a counted table in a box; as many as its body holds.  skip: bytes before the count."""
+    a, b = at[kind]
+    count = struct.unpack_from(">I", data[a:b], skip)[0]
+    size = struct.calcsize(">" + form)
+    body = data[a + skip + 4 : b]
+    count = min(count, len(body) // size)
+    return list(struct.iter_unpack(">" + form, body[: count * size]))
+
+
 def track(data: bytes, at: dict[bytes, tuple[int, int]]) -> dict:
     """Codec, duration and sample layout by the boxes of a track: chunk byte ranges and keyframe byte ranges (offset, length)."""
     out = {"codec": None, "timescale": None, "duration": None, "samples": None, "chunks": [], "keyframes": []}
     try:
         if b"mdhd" in at:
-            a = at[b"mdhd"][0]
-            out["timescale"], out["duration"] = struct.unpack_from(">IQ" if data[a] else ">II", data, a + (20 if data[a] else 12))
+            head = data[slice(*at[b"mdhd"])]
+            out["timescale"], out["duration"] = struct.unpack_from(">IQ" if head[0] else ">II", head, 20 if head[0] else 12)
         if b"stsd" in at:
-            out["codec"] = data[at[b"stsd"][0] + 12 : at[b"stsd"][0] + 16].decode("latin-1")
+            out["codec"] = data[slice(*at[b"stsd"])][12:16].decode("latin-1") or None
         if not {b"stsz", b"stsc"} <= at.keys() or not ({b"stco", b"co64"} & at.keys()):
             return out
-        one, n = struct.unpack_from(">II", data, at[b"stsz"][0] + 4)
-        sizes = None if one else struct.unpack_from(f">{n}I", data, at[b"stsz"][0] + 12)
-        kind, code = (b"stco", "I") if b"stco" in at else (b"co64", "Q")
-        count = struct.unpack_from(">I", data, at[kind][0] + 4)[0]
-        offsets = struct.unpack_from(f">{count}{code}", data, at[kind][0] + 8)
-        entries = struct.unpack_from(">I", data, at[b"stsc"][0] + 4)[0]
-        runs = [struct.unpack_from(">III", data, at[b"stsc"][0] + 8 + 12 * k)[:2] for k in range(entries)]
-    except struct.error:
+        one, n = struct.unpack_from(">II", data[slice(*at[b"stsz"])], 4)
+        sizes = None if one else [x for (x,) in _table(data, at, b"stsz", "I", 8)]
+        offsets = [x for (x,) in (_table(data, at, b"stco", "I") if b"stco" in at else _table(data, at, b"co64", "Q"))]
+        runs = [x[:2] for x in _table(data, at, b"stsc", "III")]
+        sync = sorted({x for (x,) in _table(data, at, b"stss", "I")}) if b"stss" in at else None
+    except (struct.error, IndexError):
         return out
     out["samples"] = n
-    sync = None
-    if b"stss" in at:
-        k = struct.unpack_from(">I", data, at[b"stss"][0] + 4)[0]
-        sync = set(struct.unpack_from(f">{k}I", data, at[b"stss"][0] + 8))
+    if not runs:
+        return out
     sample, run = 0, 0
     for chunk, offset in enumerate(offsets, 1):
         while run + 1 < len(runs) and runs[run + 1][0] <= chunk:
             run += 1
-        held = runs[run][1]
-        if sizes is None:
-            length = one * held
-            if sync is None or sample + 1 in sync:
-                out["keyframes"].append((offset, length))
+        held = min(runs[run][1], n - sample)
+        if held <= 0:
+            break
+        mine = None if sizes is None else sizes[sample : sample + held]
+        starts = None if mine is None else [0, *itertools.accumulate(mine)]
+        length = one * held if mine is None else starts[-1]
+        if sync is not None:
+            these = (x - 1 - sample for x in sync[bisect.bisect_left(sync, sample + 1) : bisect.bisect_right(sync, sample + held)])
+            out["keyframes"] += [(offset + j * one, one) if mine is None else (offset + starts[j], mine[j]) for j in these if mine is None or j < len(mine)]
+        elif mine is None:
+            out["keyframes"].append((offset, length))
         else:
-            length, mine = 0, sizes[sample : sample + held]
-            for j, size in enumerate(mine):
-                if sync is None or sample + j + 1 in sync:
-                    out["keyframes"].append((offset + length, size))
-                length += size
+            out["keyframes"] += [(offset + a, k) for a, k in zip(starts, mine, strict=False)]
         out["chunks"].append((offset, length))
         sample += held
     return out
@@ -204,7 +223,7 @@ def media_columns(media: DataFrame) -> DataFrame:
 
 
 def op10_media(spark, sf_dir: str) -> DataFrame:
-    return media_columns(store_media(table(spark, sf_dir, "documents")))
+    return media_columns(stored(store_media(table(spark, sf_dir, "documents")), "media", "zstd"))
 
 
 QUERIES = {"op10_media": op10_media}
