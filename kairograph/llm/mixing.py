@@ -3,8 +3,9 @@
 A source with a share p of all tokens gets the weight p^x / sum(p^x).  The exponent x in [0, 1] is found
 by bisection: the entropy of the weights is to reach a target, and no source may be repeated more often
 than a limit; the larger exponent (nearer to the natural shares) of the two holds.  The total budget is
-the least one in which every document is used at least once.  Each source's budget is realised as whole
-passes over its blocks, each in a permutation of its own, and a last part of a pass.
+the least one in which every document is used at least once, unless ``total`` tokens are asked for.  Each
+source's budget is realised as whole passes over its blocks, each in a permutation of its own, and a last
+part of a pass.
 
 Blocks are hash buckets of documents of about BLOCK_TOKENS tokens, so the largest source is only more
 blocks.  Sums over sources and blocks are aggregates; nothing is gathered but the sums for 33 exponents
@@ -75,8 +76,8 @@ def repetition_exponent(least: float, most: float, limit: float) -> float:
     return round(high, 6)
 
 
-def plan(counts: DataFrame, gain: float = ENTROPY_GAIN, limit: float = REPETITIONS, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(sources, schedule) for a table of doc_id, src, n_tokens that is read a few times.
+def plan(counts: DataFrame, gain: float = ENTROPY_GAIN, limit: float = REPETITIONS, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, total: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sources, schedule) for a table of doc_id, src, n_tokens that is read a few times; total: tokens of the whole mixture.
 
     sources: src, weight, exponent, budget, blocks.  schedule: src, block, epoch, tokens of the source's stream before it.
     Both are stored, so that their true size decides whether they are broadcast.
@@ -89,7 +90,10 @@ def plan(counts: DataFrame, gain: float = ENTROPY_GAIN, limit: float = REPETITIO
         shares = sums.filter("t > 0").select((F.col("t") / F.lit(every)).alias("p"))
         x = max(entropy_exponent(shares, gain), repetition_exponent(bounds["least"] / every, most / every, limit))
     # with the largest source passed once, another of t tokens is passed (t / most)^(x - 1) times
-    passes = F.when(F.col("t") > 0, F.round(F.pow(F.col("t") / F.lit(most or 1.0), F.lit(x - 1)), 9)).otherwise(F.lit(1.0))
+    power, scale = F.pow(F.col("t") / F.lit(most or 1.0), F.lit(x - 1)), 1.0
+    if total is not None and most:
+        scale = total / sums.filter("t > 0").agg(F.sum(F.col("t") * power).alias("b")).first()["b"]
+    passes = F.when(F.col("t") > 0, F.round(power * F.lit(scale), 9)).otherwise(F.lit(1.0))
     sources = sums.select("src", "t", passes.alias("passes"), F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("t") / F.lit(block_tokens))).cast("long").alias("blocks"), F.lit(x).alias("exponent"))
     budget = sources.agg(F.sum(F.col("t") * F.col("passes")).alias("b")).first()["b"] or 1.0
     sources = stored(sources.withColumn("budget", F.round(F.col("t") * F.col("passes"), 3)).withColumn("weight", F.round(F.col("budget") / F.lit(budget), 9)), "mix-sources")
@@ -102,8 +106,9 @@ def plan(counts: DataFrame, gain: float = ENTROPY_GAIN, limit: float = REPETITIO
     slices = slices.withColumn("slice_before", F.coalesce(F.sum("slice_n").over(across), F.lit(0))).drop("slice_n")
     each = each.withColumn("in_slice", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(slices, ["src", "epoch", "slice"])
     each = each.withColumn("before", F.col("epoch") * F.col("t") + F.col("slice_before") + F.col("in_slice"))
-    # the first pass is whole; of the last those blocks that begin inside the budget
-    each = each.filter((F.col("epoch") == 0) | (F.col("before") < F.col("budget")))
+    # of the last pass those blocks that begin inside the budget; the first is whole unless a total asks for less
+    first = (F.col("epoch") == 0) if total is None else F.col("t") == 0
+    each = each.filter(first | (F.col("before") < F.col("budget")))
     return sources, stored(each.select("src", "block", "epoch", "before"), "mix-schedule")
 
 
