@@ -13,16 +13,17 @@ from pyspark.sql import functions as F
 
 from kairograph.llm import html_text, licenses, media, mixing, ngram_join, packing, pii, quality, repeats, token_files
 from kairograph.llm.graph import components
-from kairograph.llm.rangecoder import BLOCK, MAX_ID, decode_blocks, encode_blocks, read_stripes, write_stripes
+from kairograph.llm.rangecoder import BLOCK, MOST_IDS, Table, decode_blocks, encode_blocks, read_stripes, write_stripes
 from kairograph.llm.shingles import Levels, most_apart
 from kairograph.llm.tokens import Encoder, tokenizer_path
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sequence_id string, kept int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sequence_id string, kept int, row string, t long, th string, cls long, block long, src string, start long, mix_key double, stays int, n long, root long, a long, key int"
+MORE = ("x", 7, "r", 1, "th", 2, 3, "s", 4, 0.5, 6, 8, 9, 10, 11)
 
 
 def frame(spark, rows):
-    """Documents with two columns whose names the operators use themselves."""
-    return spark.createDataFrame([(d, t, "en", s, len(t or ""), "x", 7) for d, t, s in rows], SCHEMA).repartition(3)
+    """Documents with columns whose names the operators use themselves."""
+    return spark.createDataFrame([(d, t, "en", s, len(t or ""), *MORE) for d, t, s in rows], SCHEMA).repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -66,19 +67,49 @@ def test_strings_of_added_tokens(name):
 
 def test_coder_round_trip():
     rng = np.random.default_rng(0)
-    blocks = [rng.integers(0, MAX_ID + 1, rng.integers(1, 300)) for _ in range(20)] + [rng.zipf(1.3, BLOCK) % 60000, np.zeros(BLOCK, int), np.arange(BLOCK) % 7, np.full(BLOCK, MAX_ID), np.zeros(0, int)]
-    coded = encode_blocks(blocks)
-    for a, b in zip(blocks, decode_blocks(coded, [len(b) for b in blocks]), strict=True):
-        assert a.tolist() == b.tolist()
-    assert len(coded[22]) < 100  # a block that its model predicts
-    assert encode_blocks([blocks[0]])[0] == coded[0]  # whatever stands beside it
+    top = (1 << 32) - 1
+    some = [rng.integers(0, top + 1, rng.integers(1, 300)) for _ in range(20)] + [rng.zipf(1.3, 3 * BLOCK + 5) % 60000, np.zeros(BLOCK, int), np.arange(2 * BLOCK) % 7, np.full(BLOCK + 1, top), np.array([7]), np.zeros(0, int)]
+    stripes = [([k], np.array([len(ids)]), ids.astype(np.uint32), 3 * k) for k, ids in enumerate(some)]
+    coded = write_stripes(stripes)
+    for (doc_ids, n, ids, before), got in zip(stripes, read_stripes(coded), strict=True):
+        assert (doc_ids, n.tolist(), ids.tolist(), before) == (got[0], got[1].tolist(), got[2].tolist(), got[3])
+    assert write_stripes(stripes[3:4])[0] == coded[3] and len(coded[21]) < 300 > len(coded[23])  # whatever stands beside it; what the model predicts
+    with pytest.raises(ValueError):
+        write_stripes([([1], np.array([MOST_IDS + 1]), np.arange(MOST_IDS + 1, dtype=np.uint32), 0)])
+
+
+def test_a_block_is_read_alone():
+    ids = np.random.default_rng(1).zipf(1.4, 3 * BLOCK) % 5000
+    table, place = Table.of(ids)
+    again = Table.from_bytes(table.to_bytes())
+    blocks = [place[k : k + BLOCK] for k in range(0, ids.size, BLOCK)]
+    coded = encode_blocks(blocks, [table], [0] * 3)
+    assert np.array_equal(again.ids[decode_blocks(coded[1:2], [BLOCK], [again], [0])[0]], ids[BLOCK : 2 * BLOCK])
+
+
+def test_coder_beats_order_0():
+    """Words that follow each other by habit and passages said twice cost less than their order-0 entropy, the head included."""
+    rng = random.Random(4)
+    after = {w: [rng.randrange(800) for _ in range(3)] for w in range(800)}
+    ids, x = [], 0
+    while len(ids) < 200_000:
+        x = rng.choice(after[x]) if rng.random() < 0.5 else int(rng.paretovariate(0.6)) % 800
+        ids.append(x)
+        if len(ids) > 200 and rng.random() < 0.002:
+            ids += ids[-150:-50]
+    ids = np.array(ids, dtype=np.uint32)
+    p = np.unique(ids, return_counts=True)[1] / ids.size
+    size = len(write_stripes([([0], np.array([ids.size]), ids, 0)])[0])
+    assert 8 * size / ids.size < 0.93 * -(p * np.log2(p)).sum()
+    noise = np.random.default_rng(2).integers(0, 256, 100_000).astype(np.uint32)
+    assert 8 * len(write_stripes([([0], np.array([noise.size]), noise, 0)])[0]) / noise.size < 8.2
 
 
 def test_a_changed_byte_is_noticed():
     raw = write_stripes([([1, None], np.array([3, 2]), np.array([5, 6, 7, 8, 9]), 11)])[0]
     ids, n, values, before = read_stripes([raw])[0]
     assert (ids, n.tolist(), values.tolist(), before) == ([1, None], [3, 2], [5, 6, 7, 8, 9], 11)
-    for at in (10, 50, len(raw) - 1):
+    for at in (10, 50, 70, len(raw) - 1):
         with pytest.raises(ValueError):
             read_stripes([raw[:at] + bytes([raw[at] ^ 1]) + raw[at + 1 :]])
 
@@ -245,35 +276,60 @@ def test_components(spark):
     assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 140)}, 200: 200, 201: 200}
 
 
-def brute_repeats(rows, length):
+def brute_repeats(rows, length, passage):
     counts = collections.Counter()
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t, _ in rows]
+    held = collections.defaultdict(set)
+    for k, w in enumerate(words):
+        for i in range(len(w) - passage + 1):
+            held[tuple(w[i : i + passage])].add(k)
+    shared = [len({j for i in range(len(w) - passage + 1) if len(held[tuple(w[i : i + passage])]) > 1 for j in range(i, i + passage)}) for w in words]
     texts = [(d, (t or "").encode()) for d, t, _ in rows]
     for _, b in texts:
         counts.update(b[i : i + length] for i in range(len(b) - length + 1))
     out = []
-    for d, b in texts:
+    for (d, b), n in zip(texts, shared, strict=True):
         gone = bytearray(len(b))
         for i in range(len(b) - length + 1):
             if counts[b[i : i + length]] > 1:
                 gone[i : i + length] = b"\1" * length
         kept = bytes(x for x, y in zip(b, gone, strict=True) if not y)
-        out.append((d, len(b), sum(gone), sum(1 for i in range(len(gone)) if gone[i] and (not i or not gone[i - 1])), hashlib.sha256(kept).hexdigest()))
+        out.append((d, len(b), sum(gone), sum(1 for i in range(len(gone)) if gone[i] and (not i or not gone[i - 1])), hashlib.sha256(kept).hexdigest(), n))
     return sorted(out, key=key)
 
 
-@pytest.mark.parametrize("length, gram", [(40, 9), (24, 5)])
-def test_repeats(spark, docs, length, gram):
+@pytest.mark.parametrize("length, gram, passage", [(40, 9, 12), (24, 5, 6), (repeats.LENGTH, repeats.GRAM, repeats.PASSAGE)])
+def test_repeats(spark, docs, length, gram, passage):
     rng = random.Random(9)
-    passages = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(20, 120))) for _ in range(6)]
+    most = 3 * length
+    passages = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(length // 2, most))) for _ in range(6)]
     rows = list(docs)
     for k in range(150):
         rows.append((2000 + k, "".join(rng.choice(passages) if rng.random() < 0.5 else "".join(rng.choice("abcdef") for _ in range(rng.randint(0, 60))) for _ in range(rng.randint(0, 6))), "src0"))
-    rows += [(3000, "ab" * 60, "s"), (3001, "x" * (length - 1), "s"), (3002, rows[-1][1], "s")]
-    got = sorted((tuple(r) for r in repeats.repeats(frame(spark, rows), length, gram).collect()), key=key)
-    assert got == brute_repeats(rows, length)
+    # passages of words around the least length, within and across documents, and a copy of what shares nothing else
+    vocabulary = [f"w{k}" for k in range(40)]
+    said = [[rng.choice(vocabulary) for _ in range(passage + n)] for n in (-1, 0, 1, 5, 30)]
+    for k in range(60):
+        rows.append((2500 + k, " ".join(x for _ in range(rng.randint(1, 4)) for x in (rng.choice(said) if rng.random() < 0.4 else [rng.choice(vocabulary) for _ in range(rng.randint(0, passage))])), "src0"))
+    own = " ".join(f"own{k}" for k in range(passage + 3))
+    rows += [(2600, f"{own} and {own}", "s"), (2601, own.upper(), "s"), (2602, own.upper(), "s"), (2603, "again " * (2 * passage), "s"), (2604, "twice " * passage, "s"), (2605, "twice\n" * (passage + 2), "s")]
+    rows += [(3000, "ab" * (length + 20), "s"), (3001, "x" * (length - 1), "s"), (3002, rows[-1][1], "s")]
+    got = sorted((tuple(r) for r in repeats.repeats(frame(spark, rows), length, gram, passage).collect()), key=key)
+    assert got == brute_repeats(rows, length, passage)
     assert repeats.repeats(frame(spark, rows).limit(0), length, gram).count() == 0
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    monkeypatch.setattr(repeats, "PIECE", 64)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab c\n") for _ in range(n)).encode() for n in (900, 0, 30, 200)] + [b"x" * 500, b" " * 300]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    at, names = repeats.word_names(data, offsets)
+    words = [w for t in texts for w in t.split()]
+    assert np.diff(at).tolist() == [len(t.split()) for t in texts]
+    assert len(set(zip(words, names.tolist(), strict=True))) == len(set(words)) == len(set(names.tolist()))
+
+
 def test_quality_base(spark, docs):
     rows = docs + [(900, "one two three four five six seven eight nine ten " * 4, "s"), (901, "a\n \nb\na\n\na", "s"), (902, "la " * 7, "s"), (903, "the of and to " * 2 + "x y", "s")]
     got = {}
@@ -314,6 +370,59 @@ def test_quality_finds_junk(spark):
     assert got[100].word_distance > quality.LEAST_WORD_DEVIATION  # judged although no common word stands in it
 
 
+def test_quality_by_brute_force(spark):
+    """Histograms, references, distances, limits and the verdict from their definitions."""
+    rng = random.Random(21)
+    common = {"en": quality.COMMON_WORDS[:10], "fr": quality.COMMON_WORDS[10:20], None: quality.COMMON_WORDS[20:30]}
+    rows = []
+    for k in range(240):
+        lang = rng.choice(["en", "en", "fr", None])
+        odd = rng.random() < 0.1
+        word = lambda: "".join(rng.choice("abcdefgé漢") for _ in range(rng.randint(2, 8)))
+        w = [rng.choice(common[lang]) if not odd and rng.random() < 0.4 else rng.choice([word(), word().upper(), word() + rng.choice(",.#%"), str(rng.randint(0, 999))]) for _ in range(rng.choice([5, 19, 25, 60, 200]))]
+        rows.append((k, rng.choice([" ", "  ", "\n"]).join(w), lang))
+    rows += [(900, None, "en"), (901, "", None), (902, " \n ", "de"), (903, rows[0][1], rows[0][2])]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    base = {}
+    for d, t, lang in rows:
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        chars, count = sum(map(len, w)), lambda p: len(re.findall(p, t))  # noqa: B023
+        digits, marks, upper, wide = count("[0-9]"), count(r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]"), count("[A-Z]"), len(t.encode()) - len(t)
+        found = collections.Counter(w)
+        base[d] = lang, len(w), np.array([len(t) - chars, digits, marks, upper, wide, max(0, chars - digits - marks - upper - wide)], float), np.array([*(found[c] for c in quality.COMMON_WORDS), len(w) - sum(found[c] for c in quality.COMMON_WORDS)], float)
+    ref = {x: [sum(b[k] for b in base.values() if b[0] == x) for k in (2, 3)] for x in {b[0] for b in base.values()}}
+
+    def distance(p, q):
+        if not p.sum() or not q.sum():
+            return None
+        p, q = p / p.sum(), q / q.sum()
+        part = lambda a, m: sum(x * np.log2(x / y) for x, y in zip(a, m, strict=True) if x > 0)
+        return float(np.sqrt(max(0.0, (part(p, (p + q) / 2) + part(q, (p + q) / 2)) / 2)))
+
+    far = {d: (distance(b[2], ref[b[0]][0]) if b[2].sum() >= quality.MIN_CHARS else None, distance(b[3], ref[b[0]][1]) if b[1] >= quality.MIN_JUDGED_WORDS else None) for d, b in base.items()}
+
+    def limit(lang, k, times, least, most):
+        steps = sorted(round(x[k] * quality.STEPS) for d, x in far.items() if base[d][0] == lang and x[k] is not None)
+        if not steps:
+            return None
+        median = steps[(len(steps) + 1) // 2 - 1]
+        away = sorted(abs(x - median) for x in steps)[(len(steps) + 1) // 2 - 1]
+        return min(most, median / quality.STEPS + times * quality.TO_SIGMA * max(away / quality.STEPS, least))
+
+    kinds = ((quality.CLASS_DEVIATIONS, quality.LEAST_CLASS_DEVIATION, quality.MAX_CLASS_DISTANCE), (quality.WORD_DEVIATIONS, quality.LEAST_WORD_DEVIATION, quality.MAX_WORD_DISTANCE))
+    limits = {x: [limit(x, k, *kind) for k, kind in enumerate(kinds)] for x in ref}
+    judged = 0
+    for d, (lang, n, _, _) in base.items():
+        r = got[d]
+        for k, name in enumerate(("class_distance", "word_distance")):
+            assert (r[name] is None) == (far[d][k] is None) and (r[name] is None or abs(r[name] - far[d][k]) < 2e-6)
+        near = all(x is None or x <= limits[lang][k] for k, x in enumerate(far[d]))
+        assert r.kept == (not r.base_failed and near)
+        judged += not near
+    assert judged > 3
+
+
 def test_licenses(spark, docs):
     rows = docs + [(910, "x CC BY-NC 4.0 cc by. GENERAL public-license All rights reserved", "s"), (911, "foo Released under the MIT License. bar", "s"), (912, "It is licensed, under the Apache License; version 2.0 (c)", "s"), (913, "İK K all rights reserved", "s")]
     for r in licenses.license_scan(frame(spark, rows)).collect():
@@ -393,6 +502,53 @@ def test_mixing(spark):
     assert mixing.mix(frame(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("total", [None, 4000.0, 90_000.0])
+def test_mixing_by_brute_force(spark, total):
+    """The whole schedule from the definitions: exponent by a fine search, blocks, permutations, budgets."""
+    rng, least, tokens = random.Random(7), 64, 300
+    rows = [(k, "w " * rng.randint(0, 30), rng.choice(["a"] * 12 + ["b"] * 4 + ["c"])) for k in range(900)] + [(5, "w w", "a"), (None, "w w w", "b"), (1001, None, "d")]
+    got = collections.Counter((r.doc_id, r.source, r.n_tokens, r.epoch, r.block, r.mix_key, r.weight) for r in mixing.mix(frame(spark, rows), block_tokens=tokens, total=total).collect())
+    size = collections.Counter()
+    for _, t, s in rows:
+        size[s] += len((t or "").split())
+    full = {s: n for s, n in size.items() if n}
+    all_, most = sum(full.values()), max(full.values())
+    weights = lambda x: [(n / all_) ** x / sum((m / all_) ** x for m in full.values()) for n in full.values()]
+    entropy = lambda w: -sum(v * np.log(v) for v in w)
+    target = entropy(weights(1.0)) + mixing.ENTROPY_GAIN * (np.log(len(full)) - entropy(weights(1.0)))
+    low, high = 0.0, 1.0
+    for _ in range(80):
+        x = (low + high) / 2
+        low, high = (x, high) if entropy(weights(x)) >= target else (low, x)
+    x = max(low, 1 - np.log(mixing.REPETITIONS) / np.log(most / min(full.values())))
+    exponent = mixing.mix(frame(spark, rows), block_tokens=tokens, total=total).first().exponent
+    assert abs(x - exponent) < 2e-6
+    power = {s: (n / most) ** (exponent - 1) for s, n in full.items()}
+    scale = 1.0 if total is None else total / sum(full[s] * power[s] for s in full)
+    passes = {s: round(power[s] * scale, 9) if s in full else 1.0 for s in size}
+    budget = {s: round(size[s] * passes[s], 3) for s in size}
+    blocks = {s: max(least, -(-size[s] // tokens)) for s in size}
+    hashed = spark.createDataFrame([(k, d, blocks[s]) for k, (d, _, s) in enumerate(rows)], "k long, d long, n long").selectExpr("k", f"pmod(xxhash64({mixing.SEED}, d), n) as b").collect()
+    block = {r.k: r.b for r in hashed}
+    held = collections.Counter()
+    for k, (_, t, s) in enumerate(rows):
+        held[s, block[k]] += len((t or "").split())
+    epochs = {s: max(1, int(np.ceil(passes[s]))) for s in size}
+    every = [(s, e, b) for s in size for e in range(epochs[s]) for q, b in {key_ for key_ in {(s2, b2) for k2, (_, _, s2) in enumerate(rows) for b2 in [block[k2]]} if key_[0] == s}]
+    ranks = {(r.s, r.e, r.b): r.x for r in spark.createDataFrame(every, "s string, e int, b long").selectExpr("s", "e", "b", f"xxhash64({mixing.SEED}, s, e, b) as x").collect()}
+    want = collections.Counter()
+    for s in size:
+        at = 0
+        for e in range(epochs[s]):
+            for b in sorted((b for s2, e2, b in every if (s2, e2) == (s, e)), key=lambda b: ((ranks[s, e, b] % 2**64) >> 56, (ranks[s, e, b] % 2**64) >> 1, b)):
+                if (e == 0 if total is None else not size[s]) or at < budget[s]:
+                    for k, (d, t, s2) in enumerate(rows):
+                        if s2 == s and block[k] == b:
+                            want[d, s, len((t or "").split()), e, b, round(at / max(budget[s], 1.0), 9), round(budget[s] / sum(size[q] * passes[q] for q in size), 9)] += 1
+                at += held[s, b]
+    assert got == want
+
+
 def test_mixing_exponents(spark):
     shares = spark.createDataFrame([(0.7,), (0.2,), (0.1,)], "p double")
     h = lambda w: -sum(v / sum(w) * np.log(v / sum(w)) for v in w)
@@ -433,6 +589,129 @@ def test_html_stray_quotes():
     assert isinstance(html_text.main_text("<a" + ' x="1"' * 5000), str)
 
 
+LONG = "A long paragraph of the article, with commas, and more of it. " * 4
+
+
+def test_html_marks():
+    body = f"<h1>T</h1><p>{LONG}</p><p>{LONG}</p>"
+    text = "\n".join(["T", LONG.strip(), LONG.strip()])
+    for kind in ("has-sidebar", "no-sidebar", "header-fixed", "share-enabled", "page-with-menu content", "sidebar", "main-menu"):  # never the element that holds the article
+        assert html_text.main_text(f'<body><div class="{kind}"><article>{body}</article></div></body>') == text
+        if kind != "sidebar":
+            assert html_text.main_text(f'<body><div class="{kind}">{body}</div></body>') == text
+    for kind in ("sidebar", "left-sidebar", "cookie-banner", "related-posts", "comments", "ad"):
+        assert html_text.main_text(f'<body><div>{body}</div><div class="{kind}"><p>{LONG}</p></div></body>') == text
+    assert html_text.main_text(f"<body><header><h1>Site</h1></header><article><header><h1>T</h1></header><p>{LONG}</p><p>{LONG}</p></article></body>") == text
+    assert html_text.main_text(f"<body><article><header>By me, today.</header>{body}</article></body>") == text
+    assert html_text.main_text(f'<body><article>{body}<p>See <span class="share">Share this!</span>it.</p></article></body>') == text + "\nSee it."
+
+
+def test_html_selects_by_paths():
+    menu = "".join(f'<li><a href="/{k}">Topic {k}</a></li>' for k in range(8))
+    body = f"<p>{LONG}</p><p>Short one.</p><p>{LONG}</p>"
+    text = "\n".join([LONG.strip(), "Short one.", LONG.strip()])
+    assert html_text.main_text(f"<body><div><ul>{menu}</ul></div><div>{body}</div><div><ul>{menu}</ul></div></body>") == text  # menus without a name, beside the article
+    assert html_text.main_text(f"<body><ul>{menu}</ul>{body}</body>") == text  # and within its element
+    listed = html_text.main_text(f"<body><article><ul>{menu}</ul>{body}</article></body>")
+    assert listed.endswith(text) and listed.startswith("Topic 0")  # a list of links in an article stays
+
+
+def brute_page(page):
+    """Blocks, scores and selection from the definitions, on a tree."""
+    import xml.etree.ElementTree as ET
+
+    root, blocks = ET.fromstring(page), []
+    order = list(root.iter())
+    up = {c: p for p in order for c in p}
+    chain = lambda e: [e, *(chain(up[e]) if e in up else [])]
+    whole = lambda e: "" if e.tag in html_text.DROPPED else (e.text or "") + "".join(whole(c) + (c.tail or "") for c in e)
+    solid = lambda t: len(t) - t.count(" ")
+
+    def out(e):
+        if e.tag in html_text.DROPPED:
+            return True
+        kind = html_text.mark(f' class="{e.get("class")}"') if e.get("class") and e.tag not in ("html", "body", "article", "main") else 0
+        cores, title = any(x.tag in ("article", "main") for x in e.iter()), any(x.tag == "h1" for x in e.iter())
+        mine, all_ = solid(whole(e)), solid(whole(root))
+        return kind == 2 and not cores and mine < all_ or kind == 1 and not cores and not title and 2 * mine <= all_
+
+    def walk(e, path, links):
+        if out(e):
+            return
+        block = e.tag in html_text.BLOCKS
+        if block:
+            path = (*path, e.tag)
+            blocks.append((path, e, []))
+        links = links or e.tag == "a"
+        for text, child in [(e.text, None), *((c.tail, c) for c in e)]:
+            if child is not None:
+                walk(child, path, links)
+                if child.tag in html_text.BLOCKS:
+                    blocks.append((path, next(x for x in chain(e) if x.tag in html_text.BLOCKS), []))
+            if text:
+                blocks[-1][2].append((text, links))
+
+    walk(root, (), False)
+    found = [(p, e, " ".join("".join(t for t, _ in x).split()), sum(len(" ".join(t.split())) for t, k in x if k)) for p, e, x in blocks]
+    found = [x for x in found if x[2]]
+    if not found:
+        return ""
+    score = lambda p: (lambda t: sum(map(len, t)) / len(t) * (1 + sum(len(re.findall(r"[.,;:!?]", x)) for x in t) / len(t)))([x[2] for x in found if x[0] == p])
+    f = [score(x[0]) for x in found]
+    smooth = [(f[max(0, k - 1)] + 2 * f[k] + f[min(len(f) - 1, k + 1)]) / 4 for k in range(len(f))]
+    scored = [np.mean([y for z, y in zip(found, smooth, strict=True) if z[0] == x[0]]) for x in found]
+    limit = html_text.DEVIATIONS * np.std(scored)
+    over = [x >= limit or np.isclose(x, limit) for x in scored]
+    chosen = [set(chain(x[1])) for x, y in zip(found, over, strict=True) if y]
+    common = set.intersection(*chosen) if chosen else {root}
+    best = max((e for e in common if e.tag in html_text.HOLDERS), key=order.index, default=root)
+    outer = [e for e in chain(best) if e.tag in ("article", "main")]
+    best = outer[-1] if outer else best
+    menus = set()
+    if not outer:
+        for p in {x[0] for x in found}:
+            mine = [(x, y) for x, y in zip(found, over, strict=True) if x[0] == p]
+            if not any(y for _, y in mine) and sum(x[3] for x, _ in mine) >= html_text.LINKED * sum(len(x[2]) for x, _ in mine):
+                menus.add(p)
+        if menus == {x[0] for x in found}:
+            menus = set()
+    return "\n".join(x[2] for x in found if best in chain(x[1]) and x[0] not in menus)
+
+
+def test_html_by_brute_force():
+    rng = random.Random(11)
+
+    def part(depth):
+        kind = rng.choice(["p"] * 6 + ["ul", "menu-list", "div", "section", "article", "aside", "nav"])
+        if kind == "p":
+            return f"<p>{rng.choice([LONG, LONG[:70], 'Two words', 'More, now.'])}{rng.choice(['', ' <b>bold</b>', ' <a>a link</a> on'])}</p>"
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li>item {k}, here</li>" for k in range(rng.randint(1, 4))) + "</ul>"
+        if kind == "menu-list":
+            return "<ul>" + "".join(f"<li><a>topic {k}</a></li>" for k in range(rng.randint(2, 6))) + "</ul>"
+        mark = rng.choice(["", "", "", ' class="has-sidebar"', ' class="post-nav"', ' class="comments"', ' class="ad"'])
+        inner = "".join(part(depth + 1) for _ in range(rng.randint(1, 4))) if depth < 4 else "<p>Deep.</p>"
+        return f"<{kind}{mark}>{inner}</{kind}>"
+
+    chosen = 0
+    for _ in range(400):
+        page = "<html><body>" + rng.choice(["", "<h1>Head</h1>"]) + "".join(part(0) for _ in range(rng.randint(1, 6))) + "</body></html>"
+        got = html_text.main_text(page)
+        assert got == brute_page(page), page
+        chosen += len(got) < len(re.sub(r"<[^>]*>", "", page)) - 20
+    assert chosen > 100  # selection matters
+
+
+def test_html_takes_time_in_proportion():
+    import time
+
+    pages = ["<" + "a" * 200_000, "<a " * 100_000, '<a x="' * 60_000, "<div>" * 60_000 + "text", "<div>" * 30_000 + "</x>" * 30_000, "<div>x" * 40_000, "<p>" * 100_000, "<!--" * 50_000, "<script>" * 30_000, "</script " * 50_000, "<b>x</b>" * 50_000, "<li>x" * 50_000, "&amp" * 50_000, "<div class=" + "a-" * 50_000 + ">x"]
+    for page in pages:
+        began = time.process_time()
+        assert isinstance(html_text.main_text(page), str)
+        assert time.process_time() - began < 8, page[:20]
+
+
 def test_html_pages(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x")], "page_id long, url string, html string, text string")
     got = {r.page_id: r for r in html_text.extract(df).collect()}
@@ -458,6 +737,20 @@ def test_media_of_damaged_files():
     for cut in range(0, len(whole), 97):
         media.inspect(whole[:cut])
     assert media.inspect(b"")["codec"] is None
+    rng = random.Random(5)
+    for _ in range(1500):  # whatever is changed, nothing breaks
+        raw = bytearray(whole[:800])
+        for _ in range(rng.randint(1, 6)):
+            raw[rng.randrange(len(raw))] = rng.choice([0, 1, 255, rng.randrange(256)])
+        media.payload_of(bytes(raw), media.inspect(bytes(raw)))
+    deep = b""
+    for _ in range(5000):
+        deep = media.box(b"moov", deep)
+    assert media.inspect(deep)["tracks"] == [] and sum(1 for _ in media.walk(deep)) == 5000
+    empty = [media.full_box(b"stsd"), media.full_box(b"stsc", bytes(4)), media.full_box(b"stsz", bytes(8)), media.full_box(b"stco", media.struct.pack(">II", 1, 9)), media.box(b"mdhd")]
+    assert media.inspect(media.box(b"trak", *empty))["keyframes"] == []
+    short = [media.full_box(b"stsc", media.struct.pack(">IIII", 1, 1, 4, 1)), media.full_box(b"stsz", media.struct.pack(">II", 3, 4)), media.full_box(b"stco", media.struct.pack(">II", 1, 9)), media.full_box(b"stss", media.struct.pack(">III", 9, 2, 3))]
+    assert media.inspect(media.box(b"trak", *short))["keyframes"] == [(12, 3), (15, 3)]  # sync samples inside a chunk of equal sizes
 
 
 def test_media_of_two_tracks():
@@ -471,6 +764,21 @@ def test_media_of_two_tracks():
     assert (info["codec"], info["keyframes"]) == ("snd ", [(500, 10), (510, 20)])
 
 
+def test_stages_on_nothing_nulls_and_clashing_columns(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    odd = [(None, None, None), (1, None, None), (1, None, None), (2, "", "s"), (3, " \n", None), (4, "x" * 50_000, "s")]
+    for rows in ([], odd, odd + docs):
+        df = spark.createDataFrame([(d, t, None, s, None, *MORE) for d, t, s in rows], SCHEMA)
+        for name, stage in corpus_pipeline.STAGES:
+            if name != "packing":
+                out = stage(spark, df, str(tmp_path))
+                assert out.columns == df.columns
+                assert {tuple(x)[5:] for x in out.collect()} <= {MORE}
+        packed = corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path))
+        assert packed.select("doc_id").distinct().count() == len({d for d, _, _ in rows})
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
