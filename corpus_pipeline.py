@@ -2,6 +2,11 @@
 
 Each stage takes (spark, documents, folder of the tables) and works on all that the one before it kept; between
 stages the documents are written as Parquet to the shared folder and read again.
+
+Defined results: a null or blank text fails the quality rules and goes; where a stage is given one, it keeps it
+(near duplicates: repeated rows are one; mixing: it follows its block; packing: its end id alone).  Null ids,
+languages and sources are values of their own.  Of near duplicates the smallest doc_id stays, a null one only if
+there is no other.  Further columns pass all stages but the last, whatever their names.  Empty tables give none.
 """
 
 from __future__ import annotations
