@@ -64,6 +64,13 @@ class TripleStoreEngine:
         else:
             self._table = table
 
+    def _change(self, gone: DataFrame | None, new: DataFrame | None, t: dt.datetime) -> None:
+        if self.store:
+            self.store.change(gone, new, t)
+            return
+        table = self.table() if gone is None else S.outdate(self.table(), gone, t)
+        self._table = table if new is None else table.unionByName(new)
+
     # --- writes; chunk_size is accepted and not needed: a call is one commit
 
     def version_all_triples(self, initial_timestamp: dt.datetime | str | None = None, plain: DataFrame | None = None) -> None:
@@ -75,17 +82,34 @@ class TripleStoreEngine:
         facts = S.fact_rows(self.spark, triples, prefixes)
         if "g" in self.table().columns:
             facts = facts.withColumn("g", F.lit(None).cast("string"))
-        self._keep(S.insert(self.table(), facts, S.instant(timestamp), self.mode, dedupe))
+        t = S.instant(timestamp)
+        self._change(None, S.new_rows(self.table(), facts, t, self.mode, dedupe), t)
 
     def update(self, old: list, new: list, prefixes: dict[str, str] | None = None, chunk_size: int = 1000, timestamp: dt.datetime | str | None = None, whole_terms: bool = False) -> None:
         if not old and not new:
             return
         changes = S.change_rows(self.spark, [self._terms(x, prefixes) for x in old], [self._terms(x, prefixes) for x in new])
-        self._keep(S.update(self.table(), changes, S.instant(timestamp), whole_terms))
+        t = S.instant(timestamp)
+        self._change(*S.update_parts(self.table(), changes, t, whole_terms), t)
 
     def outdate(self, triples: list | str, prefixes: dict[str, str] | None = None, timestamp: dt.datetime | str | None = None, chunk_size: int = 1000) -> None:
         if triples:
-            self._keep(S.outdate(self.table(), S.fact_rows(self.spark, triples, prefixes), S.instant(timestamp)))
+            self._change(S.fact_rows(self.spark, triples, prefixes), None, S.instant(timestamp))
+
+    def drop_graph(self, graph: str | None) -> None:
+        """Remove all rows of a named graph, history included (None: of the default graph)."""
+        self._keep(self.table().filter(~F.col("g").eqNullSafe(F.lit(graph))))
+
+    def import_graph(self, facts: DataFrame, graph: str | None = None, timestamp: dt.datetime | str | None = None) -> None:
+        """Open the facts (s, p, o) in a named graph."""
+        t = S.instant(timestamp)
+        self._change(None, S.new_rows(self.table(), facts.withColumn("g", F.lit(graph).cast("string")), t, self.mode), t)
+
+    def dump(self, path: str) -> None:
+        """The whole versioned table as N-Quads-star lines of the decorator form."""
+        from kairograph.operators.variants import star_lines
+
+        star_lines(self.table()).write.text(path)
 
     def rollback(self, timestamp: dt.datetime | str) -> None:
         """Undo everything from an instant on."""
@@ -96,13 +120,13 @@ class TripleStoreEngine:
     def _terms(triple, prefixes: dict[str, str] | None):
         from kairograph.plans.sparql.parser import Parser
 
-        out = []
+        out, known = [], S.check_prefixes(prefixes)
         for x in triple:
             if x is None:
                 out.append(None)
                 continue
             p = Parser(str(x))
-            p.prefixes = dict(prefixes or {})
+            p.prefixes = dict(known)
             out.append(p.term())
         return out
 

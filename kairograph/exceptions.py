@@ -9,6 +9,10 @@ class StoreNotFound(KairographError):
     """The versioned table doesn't exist or hasn't its columns."""
 
 
+class ConcurrentWrite(KairographError):
+    """Another writer made the commit first; nothing of this one is seen."""
+
+
 class UnknownMode(KairographError):
     """A version encoding other than decorator or reification."""
 
@@ -18,7 +22,7 @@ class WrongInputFormat(KairographError):
 
 
 class ReservedPrefix(KairographError):
-    """A query declares the prefix of the validity predicates for another namespace."""
+    """The prefixes given to a write declare that of the validity predicates."""
 
 
 class ExpressionNotCovered(KairographError):

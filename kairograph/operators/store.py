@@ -1,21 +1,23 @@
 """Versioned facts: a table of (g, s, p, o) with a half-open validity interval, its temporal writes and its snapshots.
 
-All operators are functions from DataFrame to DataFrame; :class:`VersionedStore` keeps their result as a
-sequence of table versions under one folder and switches readers over by a small pointer file.
+All operators are functions from DataFrame to DataFrame; :class:`VersionedStore` keeps the table under one
+folder as immutable folders of rows and numbered commits.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairograph.exceptions import StoreNotFound, UnknownMode, WrongInputFormat
+from kairograph.exceptions import ConcurrentWrite, ReservedPrefix, StoreNotFound, UnknownMode, WrongInputFormat
 
 #: The end of an open interval: 9999-12-31T00:00:00+02:00 in UTC (a fixed value).
 SENTINEL = dt.datetime(9999, 12, 30, 22)
+RESERVED_PREFIX = "vers"
 MODES = ("decorator", "reification")
 COLUMNS = ("g", "s", "p", "o", "valid_from", "valid_until")
 SCHEMA = "g string, s string, p string, o string, valid_from timestamp_ntz, valid_until timestamp_ntz"
@@ -59,8 +61,8 @@ def version_all(plain: DataFrame, t: dt.datetime) -> DataFrame:
     return plain.select(*keys).distinct().withColumn("valid_from", at(t)).withColumn("valid_until", sentinel())
 
 
-def insert(table: DataFrame, facts: DataFrame, t: dt.datetime, mode: str = "decorator", dedupe: bool = False) -> DataFrame:
-    """Open facts from t on.  No check for open ones (``dedupe`` leaves those out); a row that is there already collapses in decorator mode."""
+def new_rows(table: DataFrame, facts: DataFrame, t: dt.datetime, mode: str = "decorator", dedupe: bool = False) -> DataFrame:
+    """The rows that :func:`insert` adds."""
     new = facts.withColumn("valid_from", at(t)).withColumn("valid_until", sentinel()).select(*table.columns)
     keys = [c for c in ("g", "s", "p", "o") if c in table.columns]
     if check_mode(mode) == "decorator":
@@ -68,7 +70,12 @@ def insert(table: DataFrame, facts: DataFrame, t: dt.datetime, mode: str = "deco
         new = _without(new, table.filter((F.col("valid_from") == at(t)) & is_open()), keys)
     if dedupe:
         new = _without(new, table.filter(is_open()), keys)
-    return table.unionByName(new)
+    return new
+
+
+def insert(table: DataFrame, facts: DataFrame, t: dt.datetime, mode: str = "decorator", dedupe: bool = False) -> DataFrame:
+    """Open facts from t on.  No check for open ones (``dedupe`` leaves those out); a row that is there already collapses in decorator mode."""
+    return table.unionByName(new_rows(table, facts, t, mode, dedupe))
 
 
 def _without(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
@@ -80,38 +87,47 @@ def _without(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(other, on, "left_anti")
 
 
-def outdate(table: DataFrame, facts: DataFrame, t: dt.datetime) -> DataFrame:
-    """Close the open rows of the facts at t; others aren't touched, so it may be repeated."""
+def _marked(table: DataFrame, facts: DataFrame) -> DataFrame:
+    """``table`` with ``hit``, true in the rows of the facts."""
     keys = [c for c in ("s", "p", "o") if c in table.columns]
     gone = facts.select(*[F.col(k).alias(f"d_{k}") for k in keys]).distinct().withColumn("hit", F.lit(True))
     on = F.lit(True)
     for k in keys:
         on = on & (F.col(k) == F.col(f"d_{k}"))
-    joined = table.join(gone, on, "left")
-    until = F.when(F.col("hit") & is_open(), at(t)).otherwise(F.col("valid_until"))
-    return joined.withColumn("valid_until", until).select(*table.columns)
+    return table.join(gone, on, "left").select(*table.columns, F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
-def update(table: DataFrame, changes: DataFrame, t: dt.datetime, whole_terms: bool = False) -> DataFrame:
-    """Replace open facts.  changes: old_s, old_p, old_o and new_s, new_p, new_o, where null inherits.
+def outdate(table: DataFrame, facts: DataFrame, t: dt.datetime) -> DataFrame:
+    """Close the open rows of the facts at t; others aren't touched, so it may be repeated."""
+    until = F.when(F.col("hit") & is_open(), at(t)).otherwise(F.col("valid_until"))
+    return _marked(table, facts).withColumn("valid_until", until).select(*table.columns)
 
-    The old row is closed at t and the new one opened, unless the text of the three terms stays the same
-    (``whole_terms``: unless the terms do, with language and datatype).
-    """
+
+def update_parts(table: DataFrame, changes: DataFrame, t: dt.datetime, whole_terms: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(facts that :func:`update` closes, rows that it opens).  What changes is known from the changes alone, so neither side needs the other."""
     from kairograph.functions.terms import lex
 
     spo = ("s", "p", "o")
+    shown = (lambda c: c) if whole_terms else (lambda c: F.coalesce(lex(c), c))
+    new = [F.coalesce(F.col(f"new_{k}"), F.col(f"old_{k}")) for k in spo]
+    changes = changes.filter(F.concat(*[shown(c) for c in new]) != F.concat(*[shown(F.col(f"old_{k}")) for k in spo]))
     on = is_open()
     for k in spo:
         on = on & (F.col(k) == F.col(f"old_{k}"))
-    hits = table.join(changes, on)
-    new = [F.coalesce(F.col(f"new_{k}"), F.col(k)) for k in spo]
-    shown = (lambda c: c) if whole_terms else (lambda c: F.coalesce(lex(c), c))
-    changed = F.concat(*[shown(c) for c in new]) != F.concat(*[shown(F.col(k)) for k in spo])
-    hits = hits.filter(changed)
     rest = [c for c in table.columns if c not in spo]
-    opened = hits.select(*[c.alias(k) for k, c in zip(spo, new, strict=True)], *rest).withColumn("valid_from", at(t)).withColumn("valid_until", sentinel()).select(*table.columns).distinct()
-    return outdate(table, hits.select(*spo), t).unionByName(opened)
+    opened = table.join(changes, on).select(*[c.alias(k) for k, c in zip(spo, new, strict=True)], *rest)
+    opened = opened.withColumn("valid_from", at(t)).withColumn("valid_until", sentinel()).select(*table.columns).distinct()
+    return changes.select(*[F.col(f"old_{k}").alias(k) for k in spo]), opened
+
+
+def update(table: DataFrame, changes: DataFrame, t: dt.datetime, whole_terms: bool = False) -> DataFrame:
+    """Replace open facts.  changes: old_s, old_p, old_o and new_s, new_p, new_o, where null inherits.
+
+    The old row is closed at t and the new one opened, unless the text of the three terms stays the same
+    (``whole_terms``: unless the terms do, with language and datatype).
+    """
+    gone, opened = update_parts(table, changes, t, whole_terms)
+    return outdate(table, gone, t).unionByName(opened)
 
 
 def rollback_inserts(table: DataFrame, t: dt.datetime) -> DataFrame:
@@ -145,7 +161,7 @@ def snapshot_without_newer(table: DataFrame, t: dt.datetime) -> DataFrame:
     valid = table.filter(valid_at(t))
     on = F.col("n.newest") > F.col("v.valid_from")
     for k in keys:
-        on = on & (F.col(f"v.{k}") == F.col(f"n.{k}"))
+        on = on & F.col(f"v.{k}").eqNullSafe(F.col(f"n.{k}"))  # the default graph is null
     return valid.alias("v").join(newest.alias("n"), on, "left_anti").select(*keys).distinct()
 
 
@@ -172,12 +188,20 @@ def as_of(rows: DataFrame, time: str, t: Column) -> DataFrame:
 # --- input
 
 
+def check_prefixes(prefixes: dict[str, str] | None) -> dict[str, str]:
+    """The prefixes of a write; the one of the validity predicates is taken."""
+    if prefixes and RESERVED_PREFIX in prefixes:
+        raise ReservedPrefix(f"the prefix {RESERVED_PREFIX}: is reserved")
+    return dict(prefixes or {})
+
+
 def fact_rows(spark: SparkSession, triples: list | str, prefixes: dict[str, str] | None = None) -> DataFrame:
     """s, p, o of N-Triples lines or (s, p, o) rows; prefixed names are resolved.  Nothing given is changed."""
     import re
 
     from kairograph.plans.sparql.parser import Parser
 
+    known = check_prefixes(prefixes)
     if isinstance(triples, str):
         triples = [x for x in triples.splitlines() if x.strip() and not x.strip().startswith("#")]
     rows = []
@@ -190,7 +214,7 @@ def fact_rows(spark: SparkSession, triples: list | str, prefixes: dict[str, str]
             text = re.sub(r"\s*\.\s*$", "", x)
         try:
             p = Parser(text)
-            p.prefixes = dict(prefixes or {})
+            p.prefixes = dict(known)
             terms = [p.verb() if k == 1 else p.term() for k in range(3)]
             if p.kind != "end":
                 raise WrongInputFormat(f"more than three terms: {x!r}")
@@ -211,42 +235,131 @@ def change_rows(spark: SparkSession, old: list, new: list) -> DataFrame:
     return spark.createDataFrame([(*a, *b) for a, b in zip(old, new, strict=True)], ", ".join(f"{n} string" for n in names))
 
 
+#: Buckets of a store's open rows, by hash of the subject: a commit that closes facts rewrites those of the facts only.
+BUCKETS = 16
+
+
 class VersionedStore:
-    """Table versions under one folder: ``data-<id>`` partitioned by openness, and ``current`` that names the one to read."""
+    """Folders of rows that never change, and numbered commits that name the ones to read.
+
+    A commit is a file ``commits/<number>`` with the folders of closed rows and, bucket by bucket, of open ones.
+    New facts are a folder more.  Closing facts moves their rows to a folder of closed ones and rewrites the rest of
+    their buckets; history isn't touched.  The file is created and never overwritten: readers see the last whole
+    one, and of two writers that start from the same commit the second gets ConcurrentWrite.  :meth:`compact` merges
+    folders, :meth:`vacuum` deletes those that no recent commit names.
+    """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
     def _fs(self):
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         return jvm, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def exists(self) -> bool:
+    def _names(self, folder: str) -> list[str]:
+        jvm, fs = self._fs()
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        return sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
+
+    def commits(self) -> list[int]:
+        return sorted(int(n) for n in self._names("commits") if n.isdigit())
+
+    def state(self, number: int | None = None) -> tuple[int, dict]:
+        """(number, folders) of the last commit, or of the one asked for; a file that a writer didn't end doesn't count."""
         jvm, fs = self._fs()
-        return fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/current"))
+        for n in [number] if number is not None else self.commits()[::-1]:
+            stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{n:010d}"))
+            try:
+                return n, json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            except ValueError:
+                continue
+            finally:
+                stream.close()
+        raise StoreNotFound(f"no versioned table at {self.path}")
+
+    def exists(self) -> bool:
+        return bool(self.commits())
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], SCHEMA)
+        return self.spark.read.schema(SCHEMA).parquet(*[f"{self.path}/{f}" for f in folders])
+
+    def table(self, number: int | None = None) -> DataFrame:
+        state = self.state(number)[1]
+        return self._read([*state["closed"], *(f for folders in state["open"].values() for f in folders)])
 
-    def current(self) -> str:
-        if not self.exists():
-            raise StoreNotFound(f"no versioned table at {self.path}")
-        return self.spark.read.text(f"{self.path}/current").first()[0]
+    def open_rows(self) -> DataFrame:
+        return self._read([f for folders in self.state()[1]["open"].values() for f in folders])
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("s"), F.lit(self.buckets)).cast("int")
+
+    def _write(self, rows: DataFrame) -> dict:
+        """Write rows sorted for skipping by predicate and subject; the folders that this made."""
+        if "g" not in rows.columns:
+            rows = rows.withColumn("g", F.lit(None).cast("string"))
+        name = f"data/{uuid.uuid4().hex}"
+        rows = rows.select(*COLUMNS).withColumn("open", is_open()).withColumn("bucket", F.when(F.col("open"), self._bucket()).otherwise(-1))
+        rows.repartitionByRange("bucket", "p", "s").sortWithinPartitions("bucket", "p", "s", "valid_from").write.partitionBy("bucket").parquet(f"{self.path}/{name}")
+        made = {f.partition("=")[2]: f"{name}/{f}" for f in self._names(name) if f.startswith("bucket=")}
+        return {"closed": [f for b, f in made.items() if b == "-1"], "open": {b: [f] for b, f in made.items() if b != "-1"}}
+
+    def _publish(self, after: int, state: dict) -> None:
+        from py4j.protocol import Py4JJavaError
+
+        jvm, fs = self._fs()
+        number = after + 1
+        try:
+            out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{number:010d}"), False)
+        except Py4JJavaError as e:
+            raise ConcurrentWrite(f"commit {number} of {self.path} is there already") from e
+        out.write(bytearray((json.dumps(state) + "\n").encode()))
+        out.close()
 
-    def table(self) -> DataFrame:
-        df = self.spark.read.schema(SCHEMA + ", is_open boolean").parquet(f"{self.path}/{self.current()}")
-        return df.select(*COLUMNS)
+    def _last(self) -> tuple[int, dict]:
+        """Where a writer starts: the last number, whole or not, and the last state."""
+        numbers = self.commits()
+        return (numbers[-1], self.state()[1]) if numbers else (0, {"closed": [], "open": {}})
 
     def commit(self, table: DataFrame) -> None:
-        """Write a whole new version beside the old one, sorted for skipping by predicate and subject, then switch the pointer."""
-        if "g" not in table.columns:
-            table = table.withColumn("g", F.lit(None).cast("string"))
-        name = f"data-{uuid.uuid4().hex}"
-        rows = table.select(*COLUMNS).withColumn("is_open", is_open())
-        rows.repartitionByRange("is_open", "p", "s").sortWithinPartitions("is_open", "p", "s", "valid_from").write.partitionBy("is_open").parquet(f"{self.path}/{name}")
+        """A whole new state."""
+        number = (self.commits() or [0])[-1]
+        self._publish(number, self._write(table))
+
+    def change(self, gone: DataFrame | None, new: DataFrame | None, t: dt.datetime) -> None:
+        """Close the facts ``gone`` (s, p, o) at t and add the open rows ``new``, in one commit."""
+        number, state = self._last()
+        parts = []
+        if new is not None:
+            parts.append(self._write(new))
+        opened = {b: list(folders) for b, folders in state["open"].items()}
+        if gone is not None:
+            touched = [str(r["b"]) for r in gone.select(self._bucket().alias("b")).distinct().collect()]  # as many as buckets at most
+            held = [f for b in touched for f in opened.pop(b, [])]
+            if held:
+                rows = _marked(self._read(held), gone)
+                parts.append(self._write(rows.withColumn("valid_until", F.when(F.col("hit"), at(t)).otherwise(F.col("valid_until")))))
+        closed = list(state["closed"])
+        for part in parts:
+            closed += part["closed"]
+            for b, folders in part["open"].items():
+                opened.setdefault(b, []).extend(folders)
+        self._publish(number, {"closed": closed, "open": opened})
+
+    def compact(self) -> None:
+        """The same rows in as few folders as there are buckets."""
+        self.commit(self.table())
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete the folders that none of the last ``keep`` commits names; how many."""
         jvm, fs = self._fs()
-        hpath = jvm.org.apache.hadoop.fs.Path
-        fresh = f"{self.path}/current-{uuid.uuid4().hex}"
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.text(fresh)
-        pointer = hpath(f"{self.path}/current")
-        if fs.exists(pointer):
-            fs.delete(pointer, True)
-        fs.rename(hpath(fresh), pointer)
+        needed = set()
+        for n in self.commits()[-keep:]:
+            state = self.state(n)[1]
+            needed |= {f.split("/")[1] for f in [*state["closed"], *(x for folders in state["open"].values() for x in folders)]}
+        old = [n for n in self._names("data") if n not in needed]
+        for n in old:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/data/{n}"), True)
+        return len(old)
