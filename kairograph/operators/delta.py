@@ -63,6 +63,27 @@ def replay(initial: DataFrame, changes: DataFrame, version: int) -> DataFrame:
     return rows.groupBy(*FACT).agg(F.max_by("op", "v").alias("op")).filter("op = 'add'").select(*FACT)
 
 
+VERSION_IRI = "version:"
+
+
+def chain_graphs(initial: DataFrame, changes: DataFrame, versions: list[int]) -> DataFrame:
+    """Materialised versions of a delta chain as facts in the graphs <version:k>, for queries with GRAPH <version:k>."""
+    out = None
+    for k in versions:
+        part = replay(initial, changes, k).select(F.lit(f"<{VERSION_IRI}{k}>").alias("g"), *FACT)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def pairwise_changes(versions: DataFrame, first: int, last: int) -> DataFrame:
+    """The change sets by one difference for each pair of versions, to hold against :func:`change_sets`."""
+    out = None
+    for k in range(first, last):
+        part = anti_delta(versions.filter(F.col("version") == k), versions.filter(F.col("version") == k + 1)).select(F.lit(k).alias("v_from"), F.lit(k + 1).alias("v_to"), "op", *FACT)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def consistency(versions: DataFrame, changes: DataFrame) -> DataFrame:
     """For each step: size before + added - deleted, and the size after."""
     sizes = versions.groupBy("version").agg(F.count(F.lit(1)).alias("size"))

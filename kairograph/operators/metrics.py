@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from kairograph.functions.terms import OWL, RDF, RDFS, iri
 
 from .delta import FACT
-from .store import is_open, snapshot
+from .store import is_open, snapshot, valid_at
 
 TYPE, LABEL = iri(RDF + "type"), iri(RDFS + "label")
 CLASSES = (iri(RDFS + "Class"), iri(OWL + "Class"))
@@ -19,41 +19,50 @@ SUB_CLASS, SUB_PROPERTY = iri(RDFS + "subClassOf"), iri(RDFS + "subPropertyOf")
 PROPERTIES = (iri(RDF + "Property"), iri(OWL + "ObjectProperty"), iri(OWL + "DatatypeProperty"))
 
 
-def _catalogue(facts: DataFrame, kinds: tuple[str, ...], parent: str) -> DataFrame:
-    """Things of one of the kinds with label and parent, each optional."""
-    things = facts.filter((F.col("p") == TYPE) & F.col("o").isin(*kinds)).select(F.col("s").alias("thing"), "o")
-    labels = facts.filter(F.col("p") == LABEL).select(F.col("s").alias("thing"), F.col("o").alias("label"))
-    parents = facts.filter(F.col("p") == parent).select(F.col("s").alias("thing"), F.col("o").alias("parent"))
-    return things.join(labels, "thing", "left").join(parents, "thing", "left")
+def _evolution(table: DataFrame, t: dt.datetime, previous: dt.datetime, kinds: tuple[str, ...], parent: str, used: Column, thing: Column, key: list[str]) -> DataFrame:
+    """Things of one of the kinds at either time, with each label and parent, and their current, previous, added and deleted uses.
 
+    One pass over the table tells which facts are valid at either time.  used: whether a fact is a use, of ``thing``
+    with ``key``.  What is typed by both vocabularies counts twice.
+    """
+    g = F.col("g") if "g" in table.columns else F.lit(None).cast("string")
+    facts = table.filter(valid_at(t) | valid_at(previous)).select(F.coalesce(g, F.lit("")).alias("g"), *FACT, valid_at(t).alias("now"), valid_at(previous).alias("before"))
 
-def _counts(uses: DataFrame, name: str) -> DataFrame:
-    return uses.groupBy("thing").agg(F.count(F.lit(1)).alias(name))
+    role = F.when((F.col("p") == TYPE) & F.col("o").isin(*kinds), "kind").when(F.col("p") == LABEL, "label").when(F.col("p") == parent, "parent")
+    told = facts.withColumn("role", role).filter("role IS NOT NULL").groupBy(F.col("s").alias("thing")).agg(F.collect_set(F.struct("role", "g", "o", "now", "before")).alias("told"))
 
+    def these(kind: str, time: str) -> Column:
+        return F.filter("told", lambda x: (x["role"] == kind) & x[time])
 
-def _evolution(now: DataFrame, before: DataFrame, kinds: tuple[str, ...], parent: str, uses, key: list[str]) -> DataFrame:
-    """Catalogue over both times with current, previous, added and deleted uses; uses(facts): thing and ``key``."""
-    catalogue = _catalogue(now, kinds, parent).unionByName(_catalogue(before, kinds, parent)).select("thing", "label", "parent").distinct()
-    things = lambda facts: facts.filter((F.col("p") == TYPE) & F.col("o").isin(*kinds)).select(F.col("s").alias("thing"))  # noqa: E731  typed by both vocabularies counts twice
-    current, previous = uses(now).join(things(now), "thing"), uses(before).join(things(before), "thing")
-    out = catalogue
-    for frame, name in ((_counts(current, "current"), "current"), (_counts(previous, "previous"), "previous"), (_counts(current.join(uses(before).distinct(), key, "left_anti"), "added"), "added"), (_counts(previous.join(uses(now).distinct(), key, "left_anti"), "deleted"), "deleted")):
-        out = out.join(frame, "thing", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
-    return out.orderBy(F.desc("current"), "thing")
+    def values(kind: str, time: str) -> Column:
+        found = F.array_distinct(F.transform(these(kind, time), lambda x: x["o"]))
+        return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(None).cast("string")))
+
+    def typed(time: str) -> Column:
+        return F.size(F.array_distinct(F.transform(these("kind", time), lambda x: F.struct(x["g"], x["o"]))))
+
+    def listed(time: str) -> Column:
+        pairs = F.flatten(F.transform(values("label", time), lambda a: F.transform(values("parent", time), lambda b: F.struct(a.alias("label"), b.alias("parent")))))
+        return F.when(typed(time) > 0, pairs).otherwise(F.array().cast("array<struct<label: string, parent: string>>"))
+
+    catalogue = told.select("thing", typed("now").alias("n_now"), typed("before").alias("n_before"), F.explode(F.array_union(listed("now"), listed("before"))).alias("x"))
+
+    graphs = lambda time: F.size(F.collect_set(F.when(F.col(time), F.col("g"))))
+    each = facts.filter(used).withColumn("thing", thing).groupBy("thing", *key).agg(graphs("now").alias("now"), graphs("before").alias("before"))
+    sums = each.groupBy("thing").agg(F.sum("now").alias("current"), F.sum("before").alias("previous"), F.sum(F.when(F.col("before") == 0, F.col("now"))).alias("added"), F.sum(F.when(F.col("now") == 0, F.col("before"))).alias("deleted"))
+    times = {"current": "n_now", "previous": "n_before", "added": "n_now", "deleted": "n_before"}
+    counts = [(F.coalesce(F.col(c), F.lit(0)) * F.col(n)).cast("long").alias(c) for c, n in times.items()]
+    return catalogue.join(sums, "thing", "left").select("thing", "x.label", "x.parent", *counts).orderBy(F.desc("current"), "thing")
 
 
 def class_metrics(table: DataFrame, t: dt.datetime, previous: dt.datetime | None = None, kinds: tuple[str, ...] = CLASSES) -> DataFrame:
     """Instances of each class at t and before (by default at t too), and those added and deleted between."""
-    now, before = snapshot(table, t).select(*FACT), snapshot(table, previous or t).select(*FACT)
-    uses = lambda facts: facts.filter(F.col("p") == TYPE).select(F.col("o").alias("thing"), F.col("s").alias("instance"))
-    return _evolution(now, before, kinds, SUB_CLASS, uses, ["thing", "instance"])
+    return _evolution(table, t, previous or t, kinds, SUB_CLASS, F.col("p") == TYPE, F.col("o"), ["s"])
 
 
 def property_metrics(table: DataFrame, t: dt.datetime, previous: dt.datetime | None = None, kinds: tuple[str, ...] = PROPERTIES) -> DataFrame:
     """Facts with each property at t and before, and those added and deleted between."""
-    now, before = snapshot(table, t).select(*FACT), snapshot(table, previous or t).select(*FACT)
-    uses = lambda facts: facts.select(F.col("p").alias("thing"), "s", "o")
-    return _evolution(now, before, kinds, SUB_PROPERTY, uses, ["thing", "s", "o"])
+    return _evolution(table, t, previous or t, kinds, SUB_PROPERTY, F.lit(True), F.col("p"), ["s", "o"])
 
 
 def static_core_open(table: DataFrame) -> DataFrame:
@@ -90,6 +99,17 @@ def change_ratios(versions: DataFrame, changes: DataFrame) -> DataFrame:
     return steps.agg(F.avg((F.col("added") + F.col("deleted")) / base).alias("mean_change_ratio"), F.avg(F.col("added") / base).alias("mean_insertion_ratio"), F.avg(F.col("deleted") / base).alias("mean_deletion_ratio"))
 
 
+def computed_twice(versions: DataFrame, changes: DataFrame, again: DataFrame) -> DataFrame:
+    """The change ratios from two computations of the change sets, and whether both runs agree."""
+    names = ("mean_change_ratio", "mean_insertion_ratio", "mean_deletion_ratio")
+    a = change_ratios(versions, changes)
+    b = change_ratios(versions, again).select(*[F.col(n).alias(f"{n}_again") for n in names])
+    same = F.lit(True)
+    for n in names:
+        same = same & (F.abs(F.col(n) - F.col(f"{n}_again")) < 1e-12)
+    return a.crossJoin(b).withColumn("agree", same)  # one row each
+
+
 def triples_by_graph(table: DataFrame, t: dt.datetime | None = None) -> DataFrame:
     rows = table if t is None else snapshot(table, t)
     return rows.groupBy("g").agg(F.count(F.lit(1)).alias("triples"))

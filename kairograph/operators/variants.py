@@ -78,9 +78,9 @@ def star_lines(table: DataFrame, namespace: str = VERS) -> DataFrame:
 
 
 def reified_lines(table: DataFrame, namespace: str = VERS) -> DataFrame:
-    """The same as reified statements, each with a blank node of its own."""
+    """The same as reified statements; the blank node is named after the row, so a repeated task gives the same."""
     stamp = lambda c: F.concat(F.lit('"'), F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'+00:00'"), F.lit(f'"^^<{XSD}dateTime>'))
-    node = F.concat(F.lit("_:b"), F.monotonically_increasing_id().cast("string"))
+    node = F.concat(F.lit("_:b"), F.md5(F.concat_ws(" ", *FACT, F.date_format("valid_from", "yyyyMMddHHmmssSSS"))))
     line = F.concat(node, F.lit(" rdf:reifies << "), F.concat_ws(" ", *FACT), F.lit(f" >> ; <{namespace}valid_from> "), stamp(F.col("valid_from")), F.lit(f" ; <{namespace}valid_until> "), stamp(F.col("valid_until")), F.lit(" ."))
     return table.select(line.alias("value"))
 
