@@ -21,10 +21,10 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def normalise(line: Column) -> Column:
-    """Control escapes and the escapes \\f, \\b, \\' go, a real tab becomes \\t, ^^xsd:string is dropped."""
-    out = F.regexp_replace(line, r"\\u00(?:0[0-8BbCcEeFf]|1[0-9A-Fa-f])", "")
-    out = F.regexp_replace(out, r"(?<!\\)((?:\\\\)*)\\[fb]", "$1")
-    out = F.regexp_replace(out, r"(?<!\\)((?:\\\\)*)\\'", "$1'")
+    """Written escapes that a store doesn't give back go: controls, no-break space, line and paragraph separator, \\f, \\b, \\'.  A real tab becomes \\t, ^^xsd:string is dropped."""
+    # fixed values: 0000 to 0009, 000B, 000C, 000E to 001F, 007f, 00a0, 2028, 2029
+    out = F.regexp_replace(line, r"\\u(?:00(?:0[0-9BbCcEeFf]|1[0-9A-Fa-f]|7f|a0)|202[89])", "")
+    out = F.regexp_replace(out, r"(?<!\\)\\[fb']", "")
     out = F.regexp_replace(out, "\t", r"\\t")
     return F.regexp_replace(out, r"\^\^<http://www\.w3\.org/2001/XMLSchema#string>", "")
 
@@ -108,6 +108,51 @@ def escaped(term: Column) -> Column:
     return F.when(term.startswith('"'), F.concat(F.lit('"'), out, F.lit('"'), tail)).otherwise(term)
 
 
+def read_dump(spark: SparkSession, path: str, archives: str | None = None) -> DataFrame:
+    """The lines (value) of a dump, or, if it can't be read, those of the newest archive in the folder ``archives``."""
+    from pyspark.errors import PySparkException
+
+    try:
+        lines = spark.read.text(path)
+        lines.limit(1).collect()
+        return lines
+    except PySparkException:
+        if archives is None:
+            raise
+        jvm = spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(archives)
+        names = [f.getPath().toString() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+        newest = newest_archive(names)
+        if newest is None:
+            raise
+    return unzipped(spark, newest)
+
+
+def unzipped(spark: SparkSession, path: str) -> DataFrame:
+    """The lines (value) of all files in zip archives; an archive is one unit of work."""
+
+    def run(batches):
+        import io
+        import zipfile
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                with zipfile.ZipFile(io.BytesIO(raw)) as archive:
+                    for name in archive.namelist():
+                        with archive.open(name) as f:
+                            lines: list[str] = []
+                            for line in io.TextIOWrapper(f, "utf-8"):
+                                lines.append(line.rstrip("\r\n"))
+                                if len(lines) == 10_000:
+                                    yield pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.string())})
+                                    lines = []
+                            yield pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.string())})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "value string")
+
+
 def newest_archive(names: list[str]) -> str | None:
     """The newest of archive names ``YYYYMMDD-HHMMSS_mmm.zip``, to fall back on when a download fails."""
     import re

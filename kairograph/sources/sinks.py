@@ -27,8 +27,8 @@ def shown(result: DataFrame, most: int = SHOWN) -> tuple[list, bool]:
     return rows[:most], len(rows) > most
 
 
-def append_timings(spark: SparkSession, path: str, row: dict) -> None:
-    spark.createDataFrame([tuple(row[f.split()[0]] for f in TIMINGS.split(", "))], TIMINGS).write.mode("append").parquet(path)
+def append_timings(spark: SparkSession, path: str, row: dict, mode: str = "append") -> None:
+    spark.createDataFrame([tuple(row[f.split()[0]] for f in TIMINGS.split(", "))], TIMINGS).coalesce(1).write.mode(mode).parquet(path)
 
 
 def delta_event(delta: DataFrame, repository: str, at: Column, versioning_ms: int = 0) -> DataFrame:
