@@ -216,14 +216,15 @@ def parse_file_stamp(text: Column) -> Column:
 
 
 def interval_text(seconds: Column) -> Column:
-    """A polling interval in words: days, hours, minutes and seconds that aren't zero."""
-    pieces = []
-    rest = seconds.cast("long")
-    for size, name in ((86400, "day"), (3600, "hour"), (60, "minute"), (1, "second")):
-        n = F.floor(rest / size).cast("long")
-        pieces.append(F.when(n == 1, f"1 {name}").when(n > 1, F.concat(n.cast("string"), F.lit(f" {name}s"))))
-        rest = rest - n * size
-    return F.coalesce(F.nullif(F.concat_ws(", ", *pieces), F.lit("")), F.lit("0 seconds"))
+    """A polling interval as people read it: seconds, minutes and seconds, a clock time, or days and a clock time."""
+    n = seconds.cast("long")
+    clock = F.format_string("%02d:%02d:%02d", F.floor(n % 86400 / 3600), F.floor(n % 3600 / 60), n % 60)
+    return (
+        F.when(n < 60, F.format_string("%d seconds", n))
+        .when(n < 3600, F.format_string("%d minutes %d seconds", F.floor(n / 60), n % 60))
+        .when(n < 86400, clock)
+        .otherwise(F.format_string("%d days, %s", F.floor(n / 86400), clock))
+    )
 
 
 def encode_for_uri(text: Column) -> Column:

@@ -364,14 +364,17 @@ class Compiler:
         return nodes.select(F.col("n").alias("s"), F.col("n").alias("o"))
 
     def closure(self, p: Path, facts: DataFrame, start: str | None, end: str | None) -> DataFrame:
-        """Transitive closure by semi-naive rounds: only pairs found last are extended, and pairs seen before are dropped."""
+        """Transitive closure by semi-naive rounds: only pairs found last are extended, and pairs seen before are dropped.
+
+        From a given start each round is one step further; between all nodes it doubles the length, so a few rounds do.
+        """
         if start is None and end is not None:
             x = self.closure(Path("inv", (p,)), facts, end, None)
             return x.select(F.col("o").alias("s"), F.col("s").alias("o"))
         step = materialised(self.pairs(p, facts).distinct(), "path")
         seen = fresh = materialised(step.filter(F.col("s") == start) if start is not None else step, "path")
-        edge = step.select(F.col("s").alias("m"), F.col("o").alias("t"))
         for _ in range(self.hops):
+            edge = (seen if start is None else step).select(F.col("s").alias("m"), F.col("o").alias("t"))
             new = fresh.join(edge, fresh["o"] == edge["m"]).select("s", F.col("t").alias("o")).distinct().join(seen, ["s", "o"], "left_anti")
             fresh = materialised(new, "path")
             if fresh.isEmpty():

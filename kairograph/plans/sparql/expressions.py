@@ -218,7 +218,8 @@ class Scope:
                 n = a.number()
                 return Value("num", dec=F.floor(n.dec + F.lit("0.5").cast("decimal(2,1)")).cast(T.DECIMAL), dbl=F.floor(n.dbl + 0.5).cast("double"), rank=n.rank)
             case "RAND", []:
-                return Value("num", dec=F.rand().cast(T.DECIMAL), dbl=F.rand(), rank=3)
+                value = F.rand()  # one seed, so that both forms are one value
+                return Value("num", dec=value.cast(T.DECIMAL), dbl=value, rank=3)
             case "STR", [a]:
                 return text(a.text())
             case "STRLEN", [a]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from kairograph.exceptions import ReservedPrefix, SparqlSyntax
+from kairograph.exceptions import SparqlSyntax
 from kairograph.functions.terms import OWL, RDF, RDFS, VERS, VERS_PREFIX, XSD, iri, literal
 
 from .algebra import BGP, Extend, Filter, Graph, Join, LeftJoin, Minus, Path, Query, Service, SubSelect, Triple, Union, Values, Var
@@ -102,8 +102,6 @@ class Parser:
             else:
                 name = self.next().removesuffix(":")
                 self.prefixes[name] = self.resolve(self.next())[1:-1]
-                if name == VERS_PREFIX and self.prefixes[name] != VERS:
-                    raise ReservedPrefix(f"the prefix {VERS_PREFIX}: stands for {VERS}")
 
     def other(self) -> Query:
         if self.take("ASK"):

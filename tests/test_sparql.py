@@ -78,8 +78,10 @@ def test_errors(engine):
     for text in ("SELECT", "SELECT ?x { ?x ", "SELECT ?x { ?x no:p ?y }", "FOO { }"):
         with pytest.raises(SparqlSyntax):
             parse(text)
-    with pytest.raises(ReservedPrefix):
-        parse("PREFIX vers: <urn:other:> SELECT * { ?s ?p ?o }")
+    assert parse("PREFIX vers: <urn:other:> SELECT * { ?s vers:p ?o }").prefixes["vers"] == "urn:other:"  # reserved in writes only
+    for write in (lambda p: engine.insert([("v:a", "v:b", "v:c")], p), lambda p: engine.outdate([("v:a", "v:b", "v:c")], p), lambda p: engine.update([("v:a", "v:b", "v:c")], [("v:a", "v:b", "v:d")], p)):
+        with pytest.raises(ReservedPrefix):
+            write({"vers": "urn:other:", "v": "urn:v:"})
     with pytest.raises(ServiceNotRegistered):
         engine.query("SELECT * { SERVICE <urn:x> { ?s ?p ?o } }", NOW)
     assert engine.query("SELECT * { SERVICE SILENT <urn:x> { ?s ?p ?o } }", NOW).count() == 1
