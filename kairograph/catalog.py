@@ -59,29 +59,29 @@ entry("version_all", lambda s, d: S.version_all(V.v_or(s, d).select("s", "p", "o
 
 
 def _new_facts(spark, d):
-    c = V.table(spark, d, "customer").filter("c_custkey % 10 = 1")
+    c = V.table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'")
     return c.select(F.lit(None).cast("string").alias("g"), V._iri("customer/", F.col("c_custkey")).alias("s"), F.lit(f"<{EX}segment>").alias("p"), F.concat(F.lit('"'), "c_mktsegment", F.lit('"')).alias("o"))
 
 
 _BASE = "SELECT s, p, o, vf AS valid_from, vu AS valid_until FROM ord"
-entry("insert_rows", lambda s, d: S.insert(V.v_or(s, d), _new_facts(s, d), U0).drop("g"), f"""{_BASE} UNION ALL SELECT DISTINCT '<{EX}customer/' || c_custkey || '>', '<{EX}segment>', '"' || c_mktsegment || '"', {ts(U0)}, {V.SENT} FROM customer WHERE c_custkey % 10 = 1""", "ord")
-_TENTH = f"s IN (SELECT '<{EX}customer/' || c_custkey || '>' FROM customer WHERE c_custkey % 10 = 1)"
+entry("insert_rows", lambda s, d: S.insert(V.v_or(s, d), _new_facts(s, d), U0).drop("g"), f"""{_BASE} UNION ALL SELECT DISTINCT '<{EX}customer/' || c_custkey || '>', '<{EX}segment>', '"' || c_mktsegment || '"', {ts(U0)}, {V.SENT} FROM customer WHERE c_mktsegment = 'BUILDING'""", "ord")
+_SEGMENT = f"s IN (SELECT '<{EX}customer/' || c_custkey || '>' FROM customer WHERE c_mktsegment = 'BUILDING')"
 
 
-def _tenth(spark, d, status="O"):
+def _of_segment(spark, d, status="O"):
     return _new_facts(spark, d).select("s", F.lit(f"<{EX}orderStatus>").alias("p"), F.lit(f'"{status}"').alias("o"))
 
 
-entry("outdate_rows", lambda s, d: S.outdate(V.v_or(s, d), _tenth(s, d), U1).drop("g"), f"""SELECT s, p, o, vf AS valid_from, CASE WHEN vu = {V.SENT} AND o = '"O"' AND {_TENTH} THEN {ts(U1)} ELSE vu END AS valid_until FROM ord""", "ord")
+entry("outdate_rows", lambda s, d: S.outdate(V.v_or(s, d), _of_segment(s, d), U1).drop("g"), f"""SELECT s, p, o, vf AS valid_from, CASE WHEN vu = {V.SENT} AND o = '"O"' AND {_SEGMENT} THEN {ts(U1)} ELSE vu END AS valid_until FROM ord""", "ord")
 
 
 def _changes(spark, d):
-    t = _tenth(spark, d)
+    t = _of_segment(spark, d)
     none = F.lit(None).cast("string")
     return t.select(F.col("s").alias("old_s"), F.col("p").alias("old_p"), F.col("o").alias("old_o"), none.alias("new_s"), none.alias("new_p"), F.lit('"X"').alias("new_o"))
 
 
-entry("update_rows", lambda s, d: S.update(V.v_or(s, d), _changes(s, d), U1).drop("g"), f"""SELECT s, p, o, vf AS valid_from, CASE WHEN vu = {V.SENT} AND o = '"O"' AND {_TENTH} THEN {ts(U1)} ELSE vu END AS valid_until FROM ord UNION ALL SELECT DISTINCT s, p, '"X"', {ts(U1)}, {V.SENT} FROM ord WHERE vu = {V.SENT} AND o = '"O"' AND {_TENTH}""", "ord")
+entry("update_rows", lambda s, d: S.update(V.v_or(s, d), _changes(s, d), U1).drop("g"), f"""SELECT s, p, o, vf AS valid_from, CASE WHEN vu = {V.SENT} AND o = '"O"' AND {_SEGMENT} THEN {ts(U1)} ELSE vu END AS valid_until FROM ord UNION ALL SELECT DISTINCT s, p, '"X"', {ts(U1)}, {V.SENT} FROM ord WHERE vu = {V.SENT} AND o = '"O"' AND {_SEGMENT}""", "ord")
 entry("rollback_inserts", lambda s, d: S.rollback_inserts(V.v_or(s, d), U1).drop("g"), f"{_BASE} WHERE vf < {ts(U1)}", "ord")
 entry("rollback_deletes", lambda s, d: S.rollback_deletes(V.v_or(s, d), U1).drop("g"), f"SELECT s, p, o, vf AS valid_from, CASE WHEN vu >= {ts(U1)} THEN {V.SENT} ELSE vu END AS valid_until FROM ord", "ord")
 
@@ -89,6 +89,8 @@ entry("rollback_deletes", lambda s, d: S.rollback_deletes(V.v_or(s, d), U1).drop
 entry("snapshot_at", lambda s, d: S.snapshot(V.v_or(s, d), T_OR).drop("g"), f"SELECT DISTINCT s, p, o FROM {OR}", "ord")
 entry("snapshot_latest", lambda s, d: S.snapshot(V.v_or(s, d), dt.datetime(2030, 1, 1)).drop("g"), f"SELECT DISTINCT s, p, o FROM ord WHERE vu = {V.SENT}", "ord")
 entry("snapshot_no_newer", lambda s, d: S.snapshot_without_newer(V.v_or(s, d).drop("g"), T_OR), f"SELECT DISTINCT s, p, o FROM {OR} WHERE NOT EXISTS (SELECT 1 FROM ord n WHERE n.s = f.s AND n.p = f.p AND n.o = f.o AND n.vf > f.vf AND n.vf <= {ts(T_OR)})", "ord")
+_NEWER = "NOT EXISTS (SELECT 1 FROM {0} n WHERE n.s = f.s AND n.p = f.p AND n.o = f.o AND n.vf > f.vf AND n.vf <= {1})"
+entry("snapshot_no_newer_in_graph", lambda s, d: S.snapshot_without_newer(V.v_or(s, d).unionByName(V.v_ev(s, d)), T_EV), f"SELECT DISTINCT CAST(NULL AS VARCHAR) AS g, s, p, o FROM ord f WHERE vf <= {ts(T_EV)} AND vu > {ts(T_EV)} AND {_NEWER.format('ord', ts(T_EV))} UNION ALL SELECT DISTINCT '<{EX}events>', s, p, o FROM {EV} WHERE {_NEWER.format('ev', ts(T_EV))}", "ord ev")
 entry("snapshot_count", lambda s, d: S.snapshot_count(V.v_or(s, d), T_OR), f"SELECT COUNT(*) AS triples FROM {OR}", "ord")
 entry("creation_timestamps", lambda s, d: S.creation_timestamps(V.v_or(s, d)), "SELECT DISTINCT vf AS valid_from FROM ord", "ord")
 entry("latest_update_ts", lambda s, d: S.latest_update(V.v_or(s, d)), f"SELECT GREATEST(MAX(vf), MAX(CASE WHEN vu < {V.SENT} THEN vu END)) AS latest FROM ord", "ord")
@@ -108,6 +110,16 @@ def _replayed(s, d):
 
 entry("cb_replay_version", _replayed, "SELECT s, p, o FROM copies WHERE version = 3", "ord copies")
 
+
+
+def _chain_query(s, d):
+    c = V.copies(s, d)
+    graphs = D.chain_graphs(c.filter("version = 0"), D.change_sets(c, 0, 4), [2, 3])
+    return Compiler(s, graphs).run(parse(PREFIX + "SELECT ?s { GRAPH <version:3> { ?s ex:orderStatus 'O' } MINUS { GRAPH <version:2> { ?s ex:orderStatus 'O' } } }"))
+
+
+entry("cb_query_graph_version", _chain_query, "SELECT s FROM copies WHERE version = 3 AND o = '\"O\"' AND s NOT IN (SELECT s FROM copies WHERE version = 2 AND o = '\"O\"')", "ord copies")
+
 # --- deltas and variants (D)
 _C = lambda k: f"SELECT s, p, o FROM copies WHERE version = {k}"
 entry("delta_insertions", lambda s, d: D.insertions(V.copies(s, d).filter("version = 1"), V.copies(s, d).filter("version = 2")), f"{_C(2)} EXCEPT {_C(1)}", "ord copies")
@@ -135,6 +147,9 @@ entry("icng_lines", lambda s, d: X.copies_trig(V.copies(s, d)), f"SELECT 'GRAPH
 entry("star_lines", lambda s, d: X.star_lines(X.intervals(V.copies(s, d), 4)), f"""SELECT '<< << ' || s || ' ' || p || ' ' || o || ' >> <{T.VERS}valid_from> "' || STRFTIME(valid_from, '%Y-%m-%dT%H:%M:%S.000+00:00') || '"^^<{T.XSD}dateTime> >> <{T.VERS}valid_until> "' || STRFTIME(valid_until, '%Y-%m-%dT%H:%M:%S.000+00:00') || '"^^<{T.XSD}dateTime> .' AS value FROM ({_INTERVALS}) i""", "ord copies")
 entry("tb_quads", lambda s, d: X.list_quads(X.version_lists(V.copies(s, d))), f"""SELECT s || ' ' || p || ' ' || o || ' <{X.TB_GRAPH}' || versions || '> .' AS value FROM ({_LISTS}) l UNION ALL SELECT DISTINCT '<{X.TB_GRAPH}' || l.versions || '> <{T.OWL}versionInfo> "' || c.version || '"^^<{T.XSD}integer> <{X.VERSION_GRAPH}> .' FROM ({_LISTS}) l JOIN copies c ON c.s = l.s AND c.p = l.p AND c.o = l.o""", "ord copies")
 
+_STAMPED = lambda c: f"""'"' || STRFTIME({c}, '%Y-%m-%dT%H:%M:%S.000+00:00') || '"^^<{T.XSD}dateTime>'"""
+entry("reified_lines", lambda s, d: X.reified_lines(X.intervals(V.copies(s, d), 4)), f"""SELECT '_:b' || MD5(s || ' ' || p || ' ' || o || ' ' || STRFTIME(valid_from, '%Y%m%d%H%M%S000')) || ' rdf:reifies << ' || s || ' ' || p || ' ' || o || ' >> ; <{T.VERS}valid_from> ' || {_STAMPED('valid_from')} || ' ; <{T.VERS}valid_until> ' || {_STAMPED('valid_until')} || ' .' AS value FROM ({_INTERVALS}) i""", "ord copies")
+
 # --- graph patterns (G)
 sparql("bgp_single", V.v_ev, T_EV, "SELECT * { ?s ?p ?o }", f"SELECT s, p, o FROM {EV}", "ev")
 sparql("bgp_star", V.v_dim, T_DIM, "SELECT ?c ?n ?seg { ?c ex:partOf ?n ; ex:segment ?seg }", f"SELECT a.s AS c, a.o AS n, b.o AS seg FROM dim a JOIN dim b ON a.s = b.s WHERE a.p = '<{EX}partOf>' AND b.p = '<{EX}segment>'", "dim")
@@ -205,7 +220,7 @@ def title(name: str, expression: str, sql: str) -> None:
     sparql(name, V.v_doc, T_DIM, _TITLES % expression, f"SELECT s AS d, {sql} AS x FROM doc", "doc")
 
 
-_T = "REPLACE(title, '\"', '')"
+_T = "txt"
 Q = lambda x: f"""('"' || {x} || '"')"""
 QL = lambda x: f"""('"' || {x} || '"@' || lang)"""
 sparql("fn_arith", V.v_ev, T_EV, "SELECT ?s (?o * 2 - 5 + 3 AS ?x) (?o / 0 AS ?bad) { ?s ex:view ?o }", f"SELECT s, {I('v * 2 - 5 + 3')} AS x, CAST(NULL AS VARCHAR) AS bad {_EVG} WHERE p = '<{EX}view>'", "ev")
@@ -215,12 +230,12 @@ sparql("fn_ebv", V.v_doc, T_DIM, "SELECT ?d { ?d ex:quality ?q FILTER(?q || ?q)
 sparql("fn_if_coalesce", V.v_ev, T_EV, "SELECT ?bucket (COUNT(?bucket) AS ?n) { SELECT (COALESCE(IF(?o > 5000, '> 5000', IF(?o > 1000, '> 1000', 1/0)), '< 1000') AS ?bucket) { ?s ?p ?o } } GROUP BY ?bucket", f"""SELECT bucket, {I('COUNT(*)')} AS n FROM (SELECT CASE WHEN v > 5000 THEN '"> 5000"' WHEN v > 1000 THEN '"> 1000"' ELSE '"< 1000"' END AS bucket {_EVG}) x GROUP BY bucket""", "ev")
 sparql("fn_bound_in", V.v_doc, T_DIM, "SELECT ?d { ?d ex:title ?t OPTIONAL { ?d ex:quality ?q } FILTER(BOUND(?q) && LANG(?t) IN ('fr', 'de')) }", f"SELECT d.s AS d FROM doc d JOIN labels q ON d.s = '<{EX}doc/' || q.doc_id || '>' WHERE d.lang IN ('fr', 'de')", "doc")
 sparql("fn_numeric", V.v_dim, T_DIM, "SELECT ?c (ABS(?b) AS ?a) (xsd:integer(ROUND(?b / 100)) AS ?r) (xsd:integer(CEIL(?b / 100)) AS ?u) (xsd:integer(FLOOR(?b / 100)) AS ?l) { ?c ex:balance ?b }", f"SELECT '<{EX}customer/' || c_custkey || '>' AS c, {I('ABS(FLOOR(c_acctbal))')} AS a, {I('FLOOR(FLOOR(c_acctbal) / 100 + 0.5)')} AS r, {I('CEIL(FLOOR(c_acctbal) / 100)')} AS u, {I('FLOOR(FLOOR(c_acctbal) / 100)')} AS l FROM customer")
-title("fn_string_case", "UCASE(?t)", QL(f"UPPER({_T})"))
+title("fn_string_case", "UCASE(?t)", QL(f"UPPER(REPLACE({_T}, 'ß', 'SS'))"))
 title("fn_string_length", "STRLEN(?t)", I(f"LENGTH({_T})"))
 title("fn_string_sub", "SUBSTR(STR(?t), 2, 5)", Q(f"SUBSTRING({_T}, 2, 5)"))
 title("fn_string_tests", "STRSTARTS(?t, 'A') || STRENDS(?t, 'e') || CONTAINS(?t, 'he')", b(f"{_T} LIKE 'A%' OR {_T} LIKE '%e' OR {_T} LIKE '%he%'"))
 title("fn_string_around", "CONCAT(STRBEFORE(STR(?t), ' '), '+', STRAFTER(STR(?t), ' '))", Q(f"CASE WHEN STRPOS({_T}, ' ') > 0 THEN SUBSTRING({_T}, 1, STRPOS({_T}, ' ') - 1) || '+' || SUBSTRING({_T}, STRPOS({_T}, ' ') + 1) ELSE '+' END"))
-title("fn_uri_encode", "ENCODE_FOR_URI(STR(?t))", Q(f"REPLACE({_T}, ' ', '%20')"))
+title("fn_uri_encode", "ENCODE_FOR_URI(STR(?t))", Q(f"URL_ENCODE({_T})"))
 title("fn_regex", "REGEX(STR(?t), '^[a-m]', 'i')", b(f"REGEXP_MATCHES({_T}, '^[a-mA-M]')"))
 title("fn_replace", "REPLACE(STR(?t), '[aeiou]', '_')", Q(f"REGEXP_REPLACE({_T}, '[aeiou]', '_', 'g')"))
 title("fn_lang", "LANG(?t)", Q("lang"))
@@ -229,8 +244,11 @@ title("fn_terms", "STRDT(LANG(?t), <urn:ex:tag>)", f"""('"' || lang || '"^^<{EX}
 title("fn_term_tests", "isLiteral(?t) && isIRI(?d) && !isBlank(?d) && !isNumeric(?t)", b("TRUE"))
 title("fn_datatype_iri", "CONCAT(STR(DATATYPE(?t)), STR(IRI(CONCAT('urn:ex:', LANG(?t)))))", Q(f"'{T.RDF}langString' || '{EX}' || lang"))
 title("fn_hash", "CONCAT(MD5(STR(?t)), SHA256(STR(?t)))", Q(f"MD5({_T}) || SHA256({_T})"))
-title("fn_hash_long", "CONCAT(SHA1(STR(?t)), SHA384(STR(?t)), SHA512(STR(?t)))", "NULL")
-ORACLE.pop("fn_hash_long")
+title("fn_hash_sha1", "SHA1(STR(?t))", Q(f"SHA1({_T})"))
+# SQL has no SHA-384 and SHA-512; these are the published digests of the text abc
+_ABC = ("cb00753f45a35e8bb5a03d699ac65007272c32ab0eded1631a8b605a43ff5bed8086072ba1e7cc2358baeca134c825a7", "ddaf35a193617abacc417349ae20413112e6fa4e89a97ea20a9eeee64b55d39a2192992a274fc1a836ba3c23a3feebbd454d4423643ce80e2a9ac94fa54ca49f")
+sparql("fn_hash_long", V.v_dim, T_DIM, "SELECT ?s (SHA384('abc') AS ?x) (SHA512('abc') AS ?y) { ?s ex:basedIn ?n }", f"""SELECT s, '"{_ABC[0]}"' AS x, '"{_ABC[1]}"' AS y FROM dim WHERE p = '<{EX}basedIn>'""", "dim")
+sparql("fn_datetime_cast", V.v_ev, T_EV, "SELECT ?s (YEAR(xsd:dateTime('2024-03-05T06:07:08Z')) AS ?y) (xsd:dateTime(STR(?s)) AS ?bad) { ?s ex:view ?o }", f"SELECT s, {I('2024')} AS y, CAST(NULL AS VARCHAR) AS bad {_EVG} WHERE p = '<{EX}view>'", "ev")
 sparql("fn_datetime", V.v_or, T_OR, "SELECT ?n ?y ?z { ?s ?p ?o BIND(NOW() AS ?n) BIND(YEAR(NOW()) * 100 + MONTH(NOW()) AS ?y) BIND(TZ(NOW()) AS ?z) } LIMIT 1", f"""SELECT '"2024-06-01T12:30:15.250"^^<{T.XSD}dateTime>' AS n, {I('202406')} AS y, '"Z"' AS z""")
 
 
@@ -241,8 +259,9 @@ def _stamps(s, d):
 
 
 entry("fn_timestamps", _stamps, "SELECT event_id, STRFTIME(ts, '%Y-%m-%dT%H:%M:%S.%g') AS iso, STRFTIME(ts, '%Y%m%d-%H%M%S_%g') AS stamp, TRUE AS parses, TRUE AS cut FROM events")
-entry("fn_interval_text", lambda s, d: V.table(s, d, "part").select("p_partkey", T.interval_text(F.col("p_size") * 3600).alias("text")), "SELECT p_partkey, CASE WHEN p_size = 0 THEN '0 seconds' ELSE CONCAT_WS(', ', CASE WHEN p_size // 24 = 1 THEN '1 day' WHEN p_size // 24 > 1 THEN (p_size // 24) || ' days' END, CASE WHEN p_size % 24 = 1 THEN '1 hour' WHEN p_size % 24 > 1 THEN (p_size % 24) || ' hours' END) END AS text FROM part")
-entry("fn_display", lambda s, d: V.v_doc(s, d).filter(F.col("p") == f"<{EX}title>").select(T.display(F.col("s")).alias("s"), T.display(F.col("o")).alias("o"), T.display_with_type(F.col("o")).alias("v")), f"SELECT s, title || '@' || lang AS o, {_T} AS v FROM doc", "doc")
+_CLOCK = "PRINTF('%02d:%02d:%02d', (n % 86400) // 3600, (n % 3600) // 60, n % 60)"
+entry("fn_interval_text", lambda s, d: V.table(s, d, "part").select("p_partkey", T.interval_text(F.col("p_partkey") * F.col("p_size") * 7).alias("text")), f"SELECT p_partkey, CASE WHEN n < 60 THEN n || ' seconds' WHEN n < 3600 THEN (n // 60) || ' minutes ' || (n % 60) || ' seconds' WHEN n < 86400 THEN {_CLOCK} ELSE (n // 86400) || ' days, ' || {_CLOCK} END AS text FROM (SELECT p_partkey, p_partkey * p_size * 7 AS n FROM part) x")
+entry("fn_display", lambda s, d: V.v_doc(s, d).filter(F.col("p") == f"<{EX}title>").select(T.display(F.col("s")).alias("s"), T.display(F.col("o")).alias("o"), T.display_with_type(F.col("o")).alias("v")), "SELECT s, quote || txt || quote || '@' || lang AS o, txt AS v FROM (SELECT *, CASE WHEN CONTAINS(txt, CHR(10)) OR (CONTAINS(txt, CHR(34)) AND CONTAINS(txt, CHR(39))) THEN REPEAT(CHR(34), 3) WHEN CONTAINS(txt, CHR(34)) THEN CHR(39) ELSE CHR(34) END AS quote FROM doc) q", "doc")
 
 # --- sources (IO)
 
@@ -264,7 +283,40 @@ entry("nt_skolemize", lambda s, d: _lines(s, d).select(N.skolemise_object(N.skol
 entry("nt_parse", lambda s, d: N.parse(_lines(s, d).select(N.skolemise_object(N.skolemise_subject(N.normalise(F.col("line")))).alias("line"))), f"SELECT {_SK.format('subj')} AS s, '<{EX}p>' AS p, REPLACE({_SK.format('obj')}, '@EN', '@en') AS o FROM nt WHERE k % 11 <> 0", "nt")
 entry("nt_validate_counts", lambda s, d: N.preprocess_summary(_lines(s, d).select("file", N.normalise(F.col("line")).alias("line"))), "SELECT file, COUNT(*) FILTER (k % 5 = 0) AS skolemized_subjects, COUNT(*) FILTER (k % 7 = 0 AND k % 11 <> 0) AS skolemized_objects, COUNT(*) FILTER (k % 11 = 0) AS invalid_triples FROM nt GROUP BY file", "nt")
 entry("nt_commented", lambda s, d: _lines(s, d).select(N.commented(N.normalise(F.col("line"))).alias("line")), f"SELECT CASE WHEN k % 11 = 0 THEN '# ' ELSE '' END || subj || ' <{EX}p> ' || obj || CASE WHEN k % 11 = 0 THEN '' ELSE ' .' END AS line FROM nt", "nt")
-entry("nt_lines_out", lambda s, d: V.v_doc(s, d).select(N.to_line(F.col("s"), F.col("p"), F.col("o")).alias("line")), f"SELECT s || ' <{EX}title> ' || title || '@' || lang || ' .' AS line FROM doc UNION ALL SELECT '<{EX}doc/' || doc_id || '> <{EX}quality> ' || {I('quality')} || ' .' FROM labels", "doc")
+_ESCAPED = "txt"
+for _code, _letter in ((92, "CHR(92)"), (34, "CHR(34)"), (10, "'n'"), (13, "'r'"), (9, "'t'")):
+    _ESCAPED = f"REPLACE({_ESCAPED}, CHR({_code}), CHR(92) || {_letter})"
+entry("nt_lines_out", lambda s, d: V.v_doc(s, d).select(N.to_line(F.col("s"), F.col("p"), F.col("o")).alias("line")), f"SELECT s || ' <{EX}title> ' || {Q(_ESCAPED)} || '@' || lang || ' .' AS line FROM doc UNION ALL SELECT '<{EX}doc/' || doc_id || '> <{EX}quality> ' || {I('quality')} || ' .' FROM labels", "doc")
+
+
+def _file(s, d, lines: DataFrame, label: str) -> str:
+    """``lines`` as text files in the shared folder."""
+    import uuid
+
+    from kairograph.operators.storage import shared_dir
+    from kairograph.sources.sinks import write_lines
+
+    path = f"{shared_dir(s)}/{label}-{uuid.uuid4().hex}"
+    write_lines(lines, path)
+    return path
+
+
+entry("nt_read_files", lambda s, d: N.read_ntriples(s, _file(s, d, _lines(s, d).select(F.col("line").alias("value")), "lines")), f"SELECT DISTINCT {_SK.format('subj')} AS s, '<{EX}p>' AS p, REPLACE({_SK.format('obj')}, '@EN', '@en') AS o FROM nt WHERE k % 11 <> 0", "nt")
+
+
+def _turtle(s, d):
+    """The dimension facts as Turtle files with their own prefixes, read back."""
+    from kairograph.sources.turtle import read_turtle
+
+    n = V.table(s, d, "nation")
+    block = F.concat(F.lit("n:"), F.col("n_nationkey").cast("string"), F.lit(" ex:partOf r:"), F.col("n_regionkey").cast("string"), F.lit(' ;\n  rdfs:label "'), "n_name", F.lit('", "'), F.lower("n_name"), F.lit('"@EN .'))
+    head = f"@prefix ex: <{EX}> .\n@prefix n: <{EX}nation/> .\nPREFIX r: <{EX}region/>\n@prefix rdfs: <{T.RDFS}> .\n"
+    text = n.groupBy((F.col("n_nationkey") % 3).alias("k")).agg(F.concat(F.lit(head), F.array_join(F.array_sort(F.collect_list(block)), "\n")).alias("value")).select("value")
+    return read_turtle(s, _file(s, d, text.repartition(3), "turtle"))
+
+
+entry("turtle_read_files", _turtle, f"""SELECT '<{EX}nation/' || n_nationkey || '>' AS s, '<{EX}partOf>' AS p, '<{EX}region/' || n_regionkey || '>' AS o FROM nation
+    UNION SELECT '<{EX}nation/' || n_nationkey || '>', '{LABEL}', '"' || n_name || '"' FROM nation UNION SELECT '<{EX}nation/' || n_nationkey || '>', '{LABEL}', '"' || LOWER(n_name) || '"@en' FROM nation""")
 entry("invalid_line_ratio", lambda s, d: M.invalid_ratio(N.preprocess_summary(_lines(s, d)).withColumn("lines", F.lit(1)).join(_lines(s, d).groupBy("file").agg(F.count(F.lit(1)).alias("n")), "file").withColumn("lines", F.col("n"))).select(F.round("ratio", 6).alias("ratio")), "SELECT ROUND(COUNT(*) FILTER (k % 11 = 0) / COUNT(*), 6) AS ratio FROM nt", "nt")
 
 # --- metrics (M)
@@ -303,25 +355,43 @@ def _ratios(s, d):
 
 _STEP = f"(SELECT z.version, z.size, (SELECT COUNT(*) FROM {_CHANGES} x WHERE x.v_from = z.version AND op = 'add') AS a, (SELECT COUNT(*) FROM {_CHANGES} x WHERE x.v_from = z.version AND op = 'delete') AS r FROM {_SIZES} z WHERE z.version < 4)"
 entry("bear_change_ratios", _ratios, f"SELECT ROUND(AVG((a + r) / (size + a)), 6) AS mean_change_ratio, ROUND(AVG(a / (size + a)), 6) AS mean_insertion_ratio, ROUND(AVG(r / (size + a)), 6) AS mean_deletion_ratio FROM {_STEP} s", "ord copies")
+def _twice(s, d):
+    c = V.copies(s, d)
+    return M.computed_twice(c, D.change_sets(c, 0, 4), D.pairwise_changes(c, 0, 4)).select(F.round("mean_change_ratio", 6).alias("mean_change_ratio"), F.round("mean_change_ratio_again", 6).alias("mean_change_ratio_again"), "agree")
+
+
+entry("bear_ratios_twice", _twice, f"SELECT ROUND(AVG((a + r) / (size + a)), 6) AS mean_change_ratio, ROUND(AVG((a + r) / (size + a)), 6) AS mean_change_ratio_again, TRUE AS agree FROM {_STEP} s", "ord copies")
 entry("triples_per_graph", lambda s, d: M.triples_by_graph(V.v_ev(s, d).unionByName(V.v_dim(s, d))), f"SELECT '<{EX}events>' AS g, COUNT(*) AS triples FROM ev UNION ALL SELECT NULL, COUNT(*) FROM dim", "ev dim")
 
+
+
+def _kept_metrics(s, d):
+    """Class metrics of two snapshots and data sets, those of one removed from an instant on."""
+    rows = M.class_metrics(V.v_typed(s, d), M1, M0).select("thing", "current", "previous")
+    both = [rows.withColumn("dataset_id", F.lit(x)).withColumn("snapshot_ts", S.at(t)) for x in ("a", "b") for t in (M0, M1)]
+    every = both[0].unionByName(both[1]).unionByName(both[2]).unionByName(both[3])
+    return M.delete_metrics(every, F.lit("a"), M1)
+
+
+entry("metrics_delete", _kept_metrics, f"""SELECT c.thing, (SELECT COUNT(*) FROM {_NOW} n WHERE n.o = c.thing) AS current, (SELECT COUNT(*) FROM {_OLD} n WHERE n.o = c.thing) AS previous, x.dataset_id, x.snapshot_ts FROM (SELECT DISTINCT '<{EX}class/' || o_orderstatus || '>' AS thing FROM orders) c, (VALUES ('a', {ts(M0)}), ('b', {ts(M0)}), ('b', {ts(M1)})) x(dataset_id, snapshot_ts)""", "typed")
+
 # --- series and summaries (A20 on)
 
 
 def _log(s, d):
-    """A timings log made of the events: one row for each day with events and type."""
-    e = V.table(s, d, "events").filter("user_id % 20 = 3")
+    """A timings log made of the events, one row each."""
+    e = V.table(s, d, "events")
     return e.select(F.col("ts").alias("timestamp"), F.when(F.col("event_type") == "purchase", 2).otherwise(1).cast("long").alias("insertions"), F.when(F.col("event_type") == "view", 1).otherwise(0).cast("long").alias("deletions"), F.col("event_id").alias("cnt_triples"))
 
 
-SQL["log"] = "log AS (SELECT ts, CASE WHEN event_type = 'purchase' THEN 2 ELSE 1 END AS i, CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS e, event_id AS n FROM events WHERE user_id % 20 = 3)"
+SQL["log"] = "log AS (SELECT ts, CASE WHEN event_type = 'purchase' THEN 2 ELSE 1 END AS i, CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS e, event_id AS n FROM events)"
 
 
 def _series_sql(unit: str) -> str:
     size = {"HOUR": 3600, "DAY": 86400, "WEEK": 7 * 86400}[unit]
     at = "(EPOCH_US(ts) - EPOCH_US(DATE_TRUNC('day', (SELECT MIN(ts) FROM log))))"
     k = f"CAST(CEIL({at} / {size}000000.0) AS BIGINT)" if unit == "WEEK" else f"CAST(FLOOR({at} / {size}000000.0) AS BIGINT)"
-    return f"""SELECT DATE_TRUNC('day', (SELECT MIN(ts) FROM log)) + k * INTERVAL {size} SECOND AS bucket, COALESCE(i, 0)::BIGINT AS insertions, COALESCE(e, 0)::BIGINT AS deletions, LAST_VALUE(n IGNORE NULLS) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cnt_triples FROM (SELECT g.k, x.i, x.e, x.n FROM (SELECT UNNEST(GENERATE_SERIES((SELECT MIN({k}) FROM log), (SELECT MAX({k}) FROM log))) AS k) g LEFT JOIN (SELECT {k} AS k, SUM(i) AS i, SUM(e) AS e, ARG_MAX(n, ts) AS n FROM log GROUP BY 1) x ON x.k = g.k) y"""
+    return f"""SELECT DATE_TRUNC('day', (SELECT MIN(ts) FROM log)) + k * INTERVAL {size} SECOND AS bucket, COALESCE(i, 0)::BIGINT AS insertions, COALESCE(e, 0)::BIGINT AS deletions, LAST_VALUE(n IGNORE NULLS) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cnt_triples FROM (SELECT g.k, x.i, x.e, x.n FROM (SELECT UNNEST(GENERATE_SERIES((SELECT MIN({k}) FROM log), (SELECT MAX({k}) FROM log))) AS k) g LEFT JOIN (SELECT {k} AS k, SUM(i) AS i, SUM(e) AS e, LAST(n ORDER BY ts, n) AS n FROM log GROUP BY 1) x ON x.k = g.k) y"""
 
 
 for _unit in ("HOUR", "DAY", "WEEK"):
@@ -361,7 +431,7 @@ def _upserted(s, d):
 
 
 entry("upsert_by_key", _upserted, "SELECT n_nationkey, CASE WHEN n_nationkey < 5 THEN LOWER(n_name) ELSE n_name END AS n_name, n_regionkey FROM nation")
-entry("missing_days", lambda s, d: TS.missing_days(V.table(s, d, "events").filter("user_id = 1"), "ts"), "SELECT CAST(g.x AS DATE) AS day FROM (SELECT UNNEST(GENERATE_SERIES((SELECT CAST(MIN(ts) AS DATE) FROM events WHERE user_id = 1), (SELECT CAST(MAX(ts) AS DATE) FROM events WHERE user_id = 1), INTERVAL 1 DAY)) AS x) g WHERE CAST(g.x AS DATE) NOT IN (SELECT CAST(ts AS DATE) FROM events WHERE user_id = 1)")
+entry("missing_days", lambda s, d: TS.missing_days(V.table(s, d, "events"), "ts", ["user_id"]), "SELECT user_id, CAST(x AS DATE) AS day FROM (SELECT user_id, UNNEST(GENERATE_SERIES(CAST(MIN(ts) AS DATE), CAST(MAX(ts) AS DATE), INTERVAL 1 DAY)) AS x FROM events GROUP BY user_id) g EXCEPT SELECT user_id, CAST(ts AS DATE) FROM events")
 entry("merged_times", lambda s, d: TS.merged_times(V.table(s, d, "lineitem").filter("l_quantity > 25").groupBy("l_orderkey").agg(F.max("l_quantity").alias("execution_time")), V.table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")), ["l_orderkey"]), "SELECT o_orderkey AS l_orderkey, LEAST(COALESCE((SELECT MAX(l_quantity) FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 25), 0), 30) AS execution_time FROM orders")
 entry("validity_classes", lambda s, d: TS.validity_classes(V.table(s, d, "lineitem").select("l_orderkey", (F.col("l_returnflag") == "R").alias("valid")), ["l_orderkey"]), "SELECT l_orderkey, BOOL_OR(l_returnflag = 'R') AS any_valid, BOOL_AND(l_returnflag = 'R') AS all_valid, COUNT(*) AS stores, CASE WHEN BOOL_AND(l_returnflag = 'R') THEN 'all' WHEN BOOL_OR(l_returnflag = 'R') THEN 'some' ELSE 'none' END AS class FROM lineitem GROUP BY l_orderkey")
 entry("batch_max_per_version", lambda s, d: TS.batch_maxima(V.table(s, d, "lineitem").select(F.col("l_linestatus").alias("policy"), F.when(F.col("l_linenumber") == 1, "snapshot_0").when(F.col("l_returnflag") == "R", F.concat(F.lit("negative_change_set_"), F.col("l_linenumber").cast("string"))).otherwise(F.concat(F.lit("positive_change_set_"), F.col("l_linenumber").cast("string"))).alias("batch"), F.col("l_quantity").alias("execution_time")), ["policy"]), "SELECT l_linestatus AS policy, CASE WHEN l_linenumber <> 1 AND l_returnflag = 'R' THEN 'invalidate' ELSE 'insert' END AS kind, CASE WHEN l_linenumber = 1 THEN 0 ELSE l_linenumber END AS version, MAX(l_quantity) AS max_time FROM lineitem GROUP BY ALL")
@@ -379,11 +449,55 @@ def _replayed_state(spark, d):
 
     store = S.VersionedStore(spark, f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}")
     c = V.copies(spark, d)
-    for k in range(3):
+    for k in range(len(V.COPY_TIMES)):
         version_step(store, c.filter(F.col("version") == k).select("s", "p", "o"), V.COPY_TIMES[k])
     return store.table().drop("g")
 
 
-_RUN3 = "(SELECT s, p, o, MIN(version) AS a, MAX(version) AS z FROM (SELECT *, version - ROW_NUMBER() OVER (PARTITION BY s, p, o ORDER BY version) AS run FROM copies WHERE version < 3) r GROUP BY s, p, o, run)"
+def _dump_folder(spark, d, versions):
+    """Dumps of some copies under names with their instants."""
+    import uuid
+
+    from kairograph.operators.storage import shared_dir
+    from kairograph.sources.sinks import write_lines
+
+    folder = f"{shared_dir(spark)}/dumps-{uuid.uuid4().hex}"
+    c = V.copies(spark, d)
+    for k in versions:
+        write_lines(c.filter(F.col("version") == k).select(N.to_line(F.col("s"), F.col("p"), F.col("o")).alias("value")), f"{folder}/{V.COPY_TIMES[k]:%Y%m%d-%H%M%S}_000")
+    return folder, [f"{folder}/{V.COPY_TIMES[k]:%Y%m%d-%H%M%S}_000" for k in versions]
+
+
+def _rebuilt(spark, d):
+    """The state after a rebuild from archived dumps, the last two of them replayed again."""
+    import uuid
+
+    from kairograph.operators.storage import shared_dir
+    from kairograph.streaming.tracking import rebuild
+
+    store = S.VersionedStore(spark, f"{shared_dir(spark)}/rebuild-{uuid.uuid4().hex}")
+    dumps = _dump_folder(spark, d, range(len(V.COPY_TIMES)))[1]
+    rebuild(spark, store, dumps)
+    rebuild(spark, store, dumps, V.COPY_TIMES[3])
+    return store.table().drop("g")
+
+
+def _tracked(spark, d):
+    """A tracker over a landing folder of all dumps; its log of timings without the times, and the metrics that were kept."""
+    import uuid
+
+    from kairograph.operators.storage import shared_dir
+    from kairograph.streaming.tracking import Dataset, Tracker
+
+    tracker = Tracker(spark, f"{shared_dir(spark)}/track-{uuid.uuid4().hex}")
+    folder, _ = _dump_folder(spark, d, range(len(V.COPY_TIMES)))
+    tracker.register(Dataset("orders", f"{folder}/*"))
+    tracker.start("orders", once=True)
+    return tracker.timings("orders").select("timestamp", "insertions", "deletions", "cnt_triples")
+
+
+_RUNS_IN_TIME = "(SELECT s, p, o, MIN(version) AS a, MAX(version) AS z FROM (SELECT *, version - ROW_NUMBER() OVER (PARTITION BY s, p, o ORDER BY version) AS run FROM copies) r GROUP BY s, p, o, run)"
 _AT = "CASE {0} " + " ".join(f"WHEN {k} THEN {ts(t)}" for k, t in enumerate(V.COPY_TIMES)) + " END"
-entry("stream_replay_state", _replayed_state, f"SELECT s, p, o, {_AT.format('a')} AS valid_from, CASE WHEN z = 2 THEN {V.SENT} ELSE {_AT.format('z + 1')} END AS valid_until FROM {_RUN3} x", "ord copies")
+entry("stream_replay_state", _replayed_state, f"SELECT s, p, o, {_AT.format('a')} AS valid_from, CASE WHEN z = 4 THEN {V.SENT} ELSE {_AT.format('z + 1')} END AS valid_until FROM {_RUNS_IN_TIME} x", "ord copies")
+entry("rebuild_state", _rebuilt, ORACLE["stream_replay_state"])
+entry("tracked_timings", _tracked, f"""SELECT CASE version {" ".join(f"WHEN {k} THEN {ts(t)}" for k, t in enumerate(V.COPY_TIMES))} END AS timestamp, CASE WHEN version = 0 THEN 0 ELSE (SELECT COUNT(*) FROM {_CHANGES} x WHERE x.v_to = version AND op = 'add') END AS insertions, CASE WHEN version = 0 THEN 0 ELSE (SELECT COUNT(*) FROM {_CHANGES} x WHERE x.v_to = version AND op = 'delete') END AS deletions, size AS cnt_triples FROM {_SIZES} z""", "ord copies")

@@ -29,7 +29,7 @@ def buckets(log: DataFrame, unit: str, time: str = "timestamp") -> DataFrame:
     at = _seconds(F.col(time)) - _seconds(F.col("origin"))
     number = F.ceil(at / size) if unit == "WEEK" else F.floor(at / size)
     rows = log.crossJoin(F.broadcast(origin)).withColumn("k", number.cast("long"))
-    sums = rows.groupBy("k").agg(F.sum("insertions").alias("insertions"), F.sum("deletions").alias("deletions"), F.max_by("cnt_triples", time).alias("cnt_triples"))
+    sums = rows.groupBy("k").agg(F.sum("insertions").alias("insertions"), F.sum("deletions").alias("deletions"), F.max_by("cnt_triples", F.struct(time, "cnt_triples")).alias("cnt_triples"))
     # from here on as many rows as buckets
     spine = sums.agg(F.min("k").alias("a"), F.max("k").alias("b")).filter("a is not null").select(F.explode(F.sequence("a", "b")).alias("k"))
     filled = spine.join(sums, "k", "left").crossJoin(F.broadcast(origin))
@@ -94,11 +94,12 @@ def quartiles(rows: DataFrame, value: str, cut: float | None = None) -> DataFram
     return q.crossJoin(over).select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"), "n", "outliers")
 
 
-def missing_days(rows: DataFrame, time: str) -> DataFrame:
-    """Days between the first and the last without a row."""
-    days = rows.select(F.to_date(time).alias("day")).distinct()
-    spine = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).filter("a is not null").select(F.explode(F.sequence("a", "b")).alias("day"))
-    return spine.join(days, "day", "left_anti")
+def missing_days(rows: DataFrame, time: str, keys: list[str] | None = None) -> DataFrame:
+    """Days between the first and the last without a row, for each of the keys."""
+    keys = keys or []
+    days = rows.select(*keys, F.to_date(time).alias("day")).distinct()
+    spine = days.groupBy(*keys).agg(F.min("day").alias("a"), F.max("day").alias("b")).filter("a is not null").select(*keys, F.explode(F.sequence("a", "b")).alias("day"))
+    return spine.join(days, [*keys, "day"], "left_anti")
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -82,10 +82,9 @@ def v_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents: a title with its language, and the quality label of some."""
+    """Documents: the whole text as a literal with its language, and the quality label of some."""
     d, q = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    title = F.trim(F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", " "), 1, 24))
-    a = d.select(_iri("doc/", F.col("doc_id")).alias("s"), F.lit(f"<{EX}title>").alias("p"), F.concat(F.lit('"'), title, F.lit('"@'), "lang").alias("o"))
+    a = d.select(_iri("doc/", F.col("doc_id")).alias("s"), F.lit(f"<{EX}title>").alias("p"), F.concat(F.lit('"'), F.coalesce("text", F.lit("")), F.lit('"@'), "lang").alias("o"))
     b = q.select(_iri("doc/", F.col("doc_id")).alias("s"), F.lit(f"<{EX}quality>").alias("p"), _integer(F.col("quality")).alias("o"))
     return _with_graph(a.unionByName(b).withColumn("valid_from", at(dt.datetime(1990, 1, 1))).withColumn("valid_until", sentinel()))
 
@@ -123,6 +122,6 @@ SQL = {
         UNION ALL SELECT '<{EX}region/' || r_regionkey || '>', '<{RDFS}label>', '"' || r_name || '"' FROM region
         UNION ALL SELECT '<{EX}supplier/' || s_suppkey || '>', '<{EX}basedIn>', '<{EX}nation/' || s_nationkey || '>' FROM supplier)""",
     "typed": f"""typed AS (SELECT '<{EX}order/' || o_orderkey || '>' AS s, '<{RDF}type>' AS p, '<{EX}class/' || o_orderstatus || '>' AS o, o_orderdate AS vf, o_orderdate + INTERVAL 900 DAY AS vu FROM orders)""",
-    "doc": f"""doc AS (SELECT '<{EX}doc/' || doc_id || '>' AS s, '"' || TRIM(SUBSTRING(REGEXP_REPLACE(COALESCE(text, ''), '[^A-Za-z]', ' ', 'g'), 1, 24)) || '"' AS title, lang FROM documents)""",
+    "doc": f"""doc AS (SELECT '<{EX}doc/' || doc_id || '>' AS s, COALESCE(text, '') AS txt, '"' || COALESCE(text, '') || '"' AS title, lang FROM documents)""",
     "copies": "copies AS (" + " UNION ALL ".join(f"SELECT {k} AS version, s, p, o FROM (SELECT DISTINCT s, p, o FROM ord WHERE vf <= {ts(t)} AND vu > {ts(t)}) c{k}" for k, t in enumerate(COPY_TIMES)) + ")",
 }

@@ -93,5 +93,80 @@ def test_tracker(spark, tmp_path):
     assert not tracker.datasets
 
 
+def test_tracker_goes_on_after_a_restart(spark, tmp_path):
+    from kairograph.streaming.feed import SUBJECT, put_dump
+
+    landing, root = str(tmp_path / "feed"), str(tmp_path / "tracked")
+    heard, t = [], dt.datetime(2024, 1, 1)
+    first = Tracker(spark, root)
+    first.register(Dataset("feed", landing, polling_interval=60, webhook=heard.append))
+    first.register(Dataset("off", landing, active=False))
+    put_dump(spark, landing, t, 100)
+    assert first.run_due(t) == ["feed"]
+    again = Tracker(spark, root, {"feed": heard.append})
+    assert again.get("feed").id == first.get("feed").id and again.get("feed").next_run == t + dt.timedelta(seconds=60) and not again.get("off").active
+    assert again.run_due(t + dt.timedelta(seconds=30)) == []  # not due
+    put_dump(spark, landing, t + dt.timedelta(seconds=60), 101)
+    assert again.run_due(t + dt.timedelta(seconds=61)) == ["feed"]
+    assert [(r.insertions, r.deletions, r.cnt_triples) for r in again.timings("feed").orderBy("timestamp").collect()] == [(0, 0, 4), (1, 1, 4)]
+    assert [json.loads(x)["total_insertions"] for x in heard] == [1]
+    # a crash after the commit: the timings are made up for, and nothing is done twice
+    import shutil
+
+    kept = sorted(map(tuple, again.store("feed").table().collect()), key=repr)
+    shutil.rmtree(next((tmp_path / "tracked" / "feed" / "timings").glob("at=20240101000100*")))
+    shutil.rmtree(tmp_path / "tracked" / "feed" / "checkpoint")
+    third = Tracker(spark, root)
+    third.start("feed", once=True)
+    assert [(r.insertions, r.deletions, r.cnt_triples) for r in third.timings("feed").orderBy("timestamp").collect()] == [(0, 0, 4), (1, 1, 4)]
+    assert sorted(map(tuple, third.store("feed").table().collect()), key=repr) == kept
+    assert third.metrics("feed", "properties").select("snapshot_ts").distinct().count() <= 2
+    now = {r.p: r.o for r in S.snapshot(third.store("feed").table(), dt.datetime(2024, 1, 2)).collect() if r.s == SUBJECT}
+    assert len(now) == 4 and now["<urn:feed:population>"].startswith('"101"')
+
+
+def test_a_data_set_that_fails_stops_alone(spark, tmp_path):
+    landing = tmp_path / "good"
+    landing.mkdir()
+    dump(landing, "20240101-000000_000", [("a", 1)])
+    tracker = Tracker(spark, str(tmp_path / "tracked"), workers=2)
+    tracker.register(Dataset("bad", str(tmp_path / "missing")))
+    tracker.register(Dataset("good", str(landing)))
+    assert tracker.run_due() == ["good"]
+    assert not Tracker(spark, str(tmp_path / "tracked")).get("bad").active
+
+
+def test_fallback_to_the_newest_archive(spark, tmp_path):
+    import zipfile
+
+    from pyspark.errors import PySparkException
+
+    from kairograph.sources.ntriples import read_dump
+
+    archives = tmp_path / "archives"
+    archives.mkdir()
+    for stamp, o in (("20240101-000000_000", 1), ("20240301-000000_000", 3), ("20240201-000000_000", 2)):
+        with zipfile.ZipFile(archives / f"{stamp}.zip", "w") as z:
+            z.writestr("dump.nt", f'<urn:a> <urn:p> "{o}" .\n# comment\n')
+    got = [r.value for r in read_dump(spark, str(tmp_path / "no.nt"), str(archives)).collect()]
+    assert got == ['<urn:a> <urn:p> "3" .', "# comment"]
+    (tmp_path / "yes.nt").write_text('<urn:b> <urn:p> "1" .\n')
+    assert read_dump(spark, str(tmp_path / "yes.nt"), str(archives)).count() == 1
+    with pytest.raises(PySparkException):
+        read_dump(spark, str(tmp_path / "no.nt"))
+
+
+def test_normalising(spark):
+    from kairograph.sources.ntriples import normalise
+
+    lines = {
+        r'"a\u0009b\u000Cc\u001fd\u007fe\u00a0f\u2028g\u2029h\u000Ai" .': r'"abcdefgh\u000Ai" .',
+        r'"x\fy\bz\'w\\fv" .': r'"xyzw\\fv" .',
+        "\"a\tb\"^^<http://www.w3.org/2001/XMLSchema#string> .": r'"a\tb" .',
+    }
+    df = spark.createDataFrame([(k,) for k in lines], "line string")
+    assert {r.line: r.out for r in df.select("line", normalise(df["line"]).alias("out")).collect()} == lines
+
+
 def test_stamp():
     assert stamp_of("a/b_20240102-030405_678.raw.nt") == dt.datetime(2024, 1, 2, 3, 4, 5, 678000) and stamp_of("x.nt") is None
