@@ -82,6 +82,21 @@ def _changes(spark, d):
 
 
 entry("update_rows", lambda s, d: S.update(V.v_or(s, d), _changes(s, d), U1).drop("g"), f"""SELECT s, p, o, vf AS valid_from, CASE WHEN vu = {V.SENT} AND o = '"O"' AND {_SEGMENT} THEN {ts(U1)} ELSE vu END AS valid_until FROM ord UNION ALL SELECT DISTINCT s, p, '"X"', {ts(U1)}, {V.SENT} FROM ord WHERE vu = {V.SENT} AND o = '"O"' AND {_SEGMENT}""", "ord")
+
+
+def _stored_change(spark, d):
+    """One commit on disk that closes facts and opens others, read back."""
+    import uuid
+
+    from kairograph.operators.storage import shared_dir
+
+    store = S.VersionedStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    store.commit(V.v_or(spark, d))
+    store.change(_of_segment(spark, d), S.new_rows(store.table(), _new_facts(spark, d), U1), U1)
+    return store.table().drop("g")
+
+
+entry("store_change", _stored_change, f"""SELECT s, p, o, vf AS valid_from, CASE WHEN vu = {V.SENT} AND o = '"O"' AND {_SEGMENT} THEN {ts(U1)} ELSE vu END AS valid_until FROM ord UNION ALL SELECT DISTINCT '<{EX}customer/' || c_custkey || '>', '<{EX}segment>', '"' || c_mktsegment || '"', {ts(U1)}, {V.SENT} FROM customer WHERE c_mktsegment = 'BUILDING'""", "ord")
 entry("rollback_inserts", lambda s, d: S.rollback_inserts(V.v_or(s, d), U1).drop("g"), f"{_BASE} WHERE vf < {ts(U1)}", "ord")
 entry("rollback_deletes", lambda s, d: S.rollback_deletes(V.v_or(s, d), U1).drop("g"), f"SELECT s, p, o, vf AS valid_from, CASE WHEN vu >= {ts(U1)} THEN {V.SENT} ELSE vu END AS valid_until FROM ord", "ord")
 
@@ -112,6 +127,16 @@ entry("cb_replay_version", _replayed, "SELECT s, p, o FROM copies WHERE version
 
 
 
+def _template(s, d):
+    from kairograph.plans.sparql.templates import versioned_text
+
+    facts = V.v_dim(s, d).filter(S.valid_at(T_DIM)).select("g", "s", "p", "o")
+    return Compiler(s, facts).run(parse(versioned_text(PREFIX + "?n ex:partOf ?r . ?r rdfs:label ?l", 3)))
+
+
+entry("template_pattern", _template, f"SELECT a.s AS n, a.o AS r, l.o AS l FROM dim a JOIN dim l ON l.s = a.o WHERE a.p = '<{EX}partOf>' AND l.p = '{LABEL}'", "dim")
+
+
 def _chain_query(s, d):
     c = V.copies(s, d)
     graphs = D.chain_graphs(c.filter("version = 0"), D.change_sets(c, 0, 4), [2, 3])

@@ -16,7 +16,7 @@ NAMES = [
     "intervals_from_copies", "intervals_from_changesets", "tb_query_by_graph", "optional_filter", "minus_shared", "exists_in_expression", "values_undef", "subselect", "path_negated",
     "path_plus", "agg_sum", "agg_group_concat", "fn_if_coalesce", "fn_string_around", "nt_parse", "nt_validate_counts", "class_metrics", "bear_snapshot_metrics", "bear_change_ratios",
     "timeseries_week", "timeseries_net_bars", "hierarchy_rollup", "quartiles_outliers", "stream_replay_state",
-    "snapshot_no_newer_in_graph", "fn_interval_text", "fn_hash", "fn_hash_sha1", "fn_hash_long", "fn_display", "fn_uri_encode", "fn_string_case", "fn_datetime_cast", "nt_lines_out", "missing_days", "reified_lines", "nt_read_files",
+    "store_change", "template_pattern", "cb_query_graph_version", "bear_ratios_twice", "snapshot_no_newer_in_graph", "fn_interval_text", "fn_hash", "fn_hash_sha1", "fn_hash_long", "fn_display", "fn_uri_encode", "fn_string_case", "fn_datetime_cast", "nt_lines_out", "missing_days", "reified_lines", "nt_read_files",
     "turtle_read_files", "metrics_delete", "rebuild_state", "tracked_timings", "property_metrics",
 ]
 

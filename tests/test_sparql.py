@@ -93,3 +93,19 @@ def test_text_helpers():
     assert is_ask("PREFIX a: <b> ask {}") and not is_ask("SELECT * {}")
     assert without_wide("a\U0001f600b") == "ab"
     assert parenthesise_aliases("SELECT count(?x) as ?n {}") == "SELECT (count(?x) as ?n) {}"
+
+
+def test_templates(engine):
+    from kairograph.exceptions import ExpressionNotCovered
+    from kairograph.plans.sparql.templates import annotated_text, versioned_text
+
+    pattern = versioned_text("PREFIX ex: <http://ex/> ?s ex:p ?o . ?o ex:q 'x'@EN", 7)
+    assert "# version 7" in pattern and parse(pattern).prefixes["ex"] == "http://ex/"
+    assert parse(versioned_text("{ ?s ?p ?o } LIMIT 3", 1)).where.triples
+    assert "SELECT ?s { ?s ?p ?o }" in versioned_text("SELECT ?s { ?s ?p ?o }", 2, "query")
+    text = annotated_text(pattern, dt.datetime(2024, 1, 1))
+    assert text.startswith("SELECT ?o ?s {") and '<< << ?s <http://ex/p> ?o >>' in text and '"x"@en' in text
+    assert text.count("valid_from") == 2 and '"2024-01-01T00:00:00.000+00:00"' in text and text.count("FILTER") == 2
+    for other in ("SELECT * { ?s (<urn:p>|<urn:q>)+ ?o }", "SELECT * { { ?s ?p ?o } UNION { ?o ?p ?s } }"):
+        with pytest.raises(ExpressionNotCovered):
+            annotated_text(other, dt.datetime(2024, 1, 1))
