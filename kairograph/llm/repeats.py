@@ -380,15 +380,19 @@ def covered_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, sym
     return covered
 
 
-def _merged(ranges: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
-    """[start, end) of the maximal runs that windows in the ranges (low, high) cover."""
-    out: list[tuple[int, int]] = []
-    for low, high in sorted(ranges):
-        if out and low <= out[-1][1]:
-            out[-1] = out[-1][0], max(out[-1][1], high + length)
-        else:
-            out.append((low, high + length))
-    return out
+def _merged(row: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the maximal runs that windows in the ranges cover, in order."""
+    if not row.size:
+        return row, low, high
+    order = np.lexsort((low, row))
+    row, low, high = row[order], low[order], high[order]
+    apart = row * (int(high.max()) + length + 2)  # so that no run goes on into the next row
+    reach = np.maximum.accumulate(high + apart)
+    new = np.ones(row.size, dtype=bool)
+    new[1:] = (low + apart)[1:] > reach[:-1] + length
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], row.size) - 1
+    return row[first], low[first], reach[last] - apart[last] + length
 
 
 _BYTES, _WORDS, _COPIED = 0, 1, 2
@@ -416,17 +420,31 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, passage: in
         for batch in batches:
             if batch.num_columns == 3:  # not joined: the rows that have no ranges
                 batch = batch.filter(pa.array(~in_filter(bits.value, batch.column(0).to_numpy())))
+            if not (n := batch.num_rows):
+                continue
+            row = low = high = kind = np.zeros(0, dtype=np.int64)
+            if batch.num_columns > 3:
+                lists = batch.column(3)
+                at = lists.offsets.to_numpy().astype(np.int64)
+                row = np.repeat(np.arange(n), np.diff(at))
+                kind, low, high = (lists.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64)[int(at[0]) : int(at[-1])] for k in range(3))
+            mine = kind == _BYTES
+            of, start, end = _merged(row[mine], low[mine], high[mine], length)
+            at = np.searchsorted(of, np.arange(n + 1)).tolist()
+            start, end = start.tolist(), end.tolist()
+            mine = kind == _WORDS
+            words, a, b = _merged(row[mine], low[mine], high[mine], passage)
+            shared = np.bincount(words, weights=b - a, minlength=n).astype(np.int64).tolist()
+            copied = np.zeros(n, dtype=bool)
+            copied[row[kind == _COPIED]] = True
             out = []
-            found = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
-            for raw, these in zip(batch.column(1).cast(pa.large_binary()).to_pylist(), found, strict=True):
-                gone = _merged([(s["low"], s["high"]) for s in these or () if s["kind"] == _BYTES], length)
-                kept = b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in gone)], [*(a for a, _ in gone), len(raw)], strict=True)) if gone else raw
-                if any(s["kind"] == _COPIED for s in these or ()):
-                    words = len(raw.split())  # of bytes: at space and tab to carriage return
-                    shared = words if words >= passage else 0
-                else:
-                    shared = sum(b - a for a, b in _merged([(s["low"], s["high"]) for s in these or () if s["kind"] == _WORDS], passage))
-                out.append((len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), shared, kept))
+            for k, raw in enumerate(batch.column(1).cast(pa.large_binary()).to_pylist()):
+                i, j = at[k], at[k + 1]
+                kept = b"".join(raw[x:y] for x, y in zip([0, *end[i:j]], [*start[i:j], len(raw)], strict=True)) if i < j else raw
+                if copied[k]:
+                    n_words = len(raw.split())  # of bytes: at space and tab to carriage return
+                    shared[k] = n_words if n_words >= passage else 0
+                out.append((len(raw), len(raw) - len(kept), j - i, hashlib.sha256(kept).hexdigest(), shared[k], kept))
             columns = list(zip(*out, strict=True)) if out else [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()][: 6 if keep_text else 5]
             yield pa.RecordBatch.from_arrays([batch.column(2), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=False))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words", "kept"][: 7 if keep_text else 6])
