@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kairograph.llm import html_text, licenses, media, mixing, ngram_join, packing, pii, quality, repeats, token_files
+from kairograph.llm import graph, html_text, licenses, media, mixing, ngram_join, packing, pii, quality, repeats, token_files
 from kairograph.llm.graph import components
 from kairograph.llm.rangecoder import BLOCK, MOST_IDS, Table, decode_blocks, encode_blocks, read_stripes, write_stripes
 from kairograph.llm.shingles import Levels, most_apart
@@ -218,6 +218,8 @@ def test_ngram_join_of_large_groups(spark, docs, width, percent, monkeypatch):
     """Groups over one block are dealt anew and then compared block by block."""
     monkeypatch.setattr(ngram_join, "MEMBERS", 48)
     monkeypatch.setattr(ngram_join, "PIVOTS", 4)
+    monkeypatch.setattr(ngram_join, "LARGE", 1)
+    monkeypatch.setattr(ngram_join, "COPIES", 500)
     rows = near_copies(docs)
     got = sorted((tuple(r) for r in ngram_join.jaccard_join(frame(spark, rows), width, percent).collect()), key=key)
     assert got == brute_join(rows, width, percent)
@@ -270,10 +272,14 @@ def test_leaving_a_subtree_loses_nothing():
         assert [label.index(x) for x in label] == [roots.tolist().index(x) for x in roots]
 
 
-def test_components(spark):
-    links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 140)}, 200: 200, 201: 200}
+@pytest.mark.parametrize("links_a_task", [500_000, 13])
+def test_components(spark, links_a_task, monkeypatch):
+    monkeypatch.setattr(graph, "LINKS_A_TASK", links_a_task)
+    links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (200, 201), (201, 200), (-5, 300)]
+    random.Random(1).shuffle(links)
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()}
+    assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 140)}, 200: 200, 201: 200, -5: -5, 300: -5}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def brute_repeats(rows, length, passage):
