@@ -22,7 +22,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import releasing, table
 from .tokens import encoder, tokenizer_path
 
 WINDOW = 2048
@@ -135,7 +135,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, tiers: tuple[int
             seq_base += s.size
             group_base += int(groups.max()) + 1
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, SCHEMA + (", ids array<long>" if keep_ids else ""))
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(releasing(run), SCHEMA + (", ids array<long>" if keep_ids else ""))
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:

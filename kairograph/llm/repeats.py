@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, by_part, discard, even_parts, in_filter, is_space, key_filter, mix64, only_in, powers, prefix_hash, row_slices, shuffle_partitions, span_hash, stored, table, text_bytes, tidy, words_of
+from .common import arrow_batches, by_part, discard, even_parts, in_filter, is_space, key_filter, mix64, only_in, powers, prefix_hash, releasing, row_slices, shuffle_partitions, span_hash, stored, table, text_bytes, tidy, words_of
 
 LENGTH, GRAM = 400, 64
 #: Words of a passage that counts as shared between documents (over 50), and those of its anchors.
@@ -264,8 +264,8 @@ def first_step(texts: DataFrame, length: int, gram: int, symbols, across: bool)
             if pick.any():
                 yield _range_batch(t[pick], low[pick], high[pick], np.where(several[group][pick], HELPS, ASKS).astype(np.int64))
 
-    dealt = texts.mapInArrow(deal, _DEALT).repartition(shuffle_partitions(texts.sparkSession), "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(meet, _RANGES)
+    dealt = texts.mapInArrow(releasing(deal), _DEALT).repartition(shuffle_partitions(texts.sparkSession), "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(releasing(meet), _RANGES)
 
 
 def second_step(asked: DataFrame, length: int, symbols, across: bool) -> DataFrame:
@@ -355,8 +355,8 @@ def second_step(asked: DataFrame, length: int, symbols, across: bool) -> DataFra
                 ct, cl, ch = _joined(t[full], start, start)
                 yield _range_batch(ct, cl, ch, np.full(ct.size, COVERED, dtype=np.int64))
 
-    dealt = asked.mapInArrow(deal, _DEALT).repartition(shuffle_partitions(asked.sparkSession), "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(meet, _RANGES)
+    dealt = asked.mapInArrow(releasing(deal), _DEALT).repartition(shuffle_partitions(asked.sparkSession), "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(releasing(meet), _RANGES)
 
 
 def text_key(text: Column) -> Column:

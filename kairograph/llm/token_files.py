@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, row_slices, shared_dir, shuffle_partitions, table
+from .common import arrow_batches, releasing, row_slices, shared_dir, shuffle_partitions, table
 from .rangecoder import read_stripes, write_stripes
 from .tokens import encoder, tokenizer_path
 
@@ -78,7 +78,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
     arrow_batches(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = ordered.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", F.length("text"), F.xxhash64("text"))
-    ordered.mapInArrow(run, FILE_SCHEMA).write.parquet(path)
+    ordered.mapInArrow(releasing(run), FILE_SCHEMA).write.parquet(path)
 
 
 DOCUMENT_SCHEMA = "doc_id long, start_in_file long, file long, n_tokens long, ids_crc32 long"
@@ -108,7 +108,7 @@ def read_tokens(spark, path: str, keep_ids: bool = False) -> DataFrame:
         starts.append((file, at))
         at += n
     starts = spark.createDataFrame(starts, "file long, file_start long")
-    docs = files.select("file", "data").mapInArrow(run, DOCUMENT_SCHEMA + (", ids array<long>" if keep_ids else ""))
+    docs = files.select("file", "data").mapInArrow(releasing(run), DOCUMENT_SCHEMA + (", ids array<long>" if keep_ids else ""))
     out = docs.join(F.broadcast(starts), "file").withColumn("start", F.col("start_in_file") + F.col("file_start"))
     return out.select("doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if keep_ids else []))
 

@@ -41,12 +41,13 @@ def _class_table() -> np.ndarray:
     """0 other, 1 letter, 2 number, 3 white space for each code point, asked of the library itself."""
     from tokenizers import Regex, pre_tokenizers
 
-    points = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000], dtype=np.uint32)
-    every = points.tobytes().decode("utf-32-le")
+    points = np.concatenate([np.arange(0xD800, dtype=np.uint32), np.arange(0xE000, 0x110000, dtype=np.uint32)])
     table = np.zeros(0x110000, dtype=np.uint8)
     for k, pattern in ((1, r"\p{L}+"), (2, r"\p{N}+"), (3, r"\s+")):
-        for _, (a, b) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every):
-            table[points[a:b]] = k
+        split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+        for some in np.array_split(points, 256):  # a little at a time, since the library returns all pieces at once
+            for _, (a, b) in split.pre_tokenize_str(some.tobytes().decode("utf-32-le")):
+                table[some[a:b]] = k
     return table
 
 
