@@ -33,18 +33,20 @@ def arrow_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", limit)
 
 
-def releasing(run):
-    """A function for mapInArrow whose worker gives the memory it has freed back to the system at the end of a task."""
+def releasing(run, every: int = 16):
+    """A function for mapInArrow whose worker gives the memory it has freed back to the system after some batches and at the end of a task."""
 
     def wrapped(batches):
         import ctypes
 
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None) or (lambda _: None)  # of glibc
         try:
-            yield from run(batches)
+            for k, out in enumerate(run(batches), 1):
+                yield out
+                if not k % every:
+                    trim(0)
         finally:
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
-            if trim is not None:
-                trim(0)
+            trim(0)
 
     return wrapped
 
