@@ -43,8 +43,8 @@ COPIES, COMPARED = 50_000, 8
 MANY = 8
 #: Signatures of so many classes give each pair of them.
 FEW = 5
-#: An n-gram is common if TIMES of the documents in a sample of one in SAMPLE hold it; common ones are known by bits of a set of fixed size.
-SAMPLE, TIMES, COMMON_BITS = 4, 3, 25
+#: An n-gram is common if TIMES documents hold it; common ones are known by bits of a set of fixed size.
+TIMES, COMMON_BITS = 12, 25
 
 
 def _sets(batch, width: int):
@@ -74,43 +74,52 @@ def keys(docs: DataFrame, width: int) -> DataFrame:
 
 
 def common_ngrams(docs: DataFrame, width: int) -> np.ndarray:
-    """A bit set of n-grams that many documents hold.
+    """A bit set of the n-grams that TIMES documents or more hold, counted over all documents.
 
     Only speed depends on it: the signatures are exact whichever n-grams are left out of their first
-    family, so a sample of the documents and a set with chance hits will do.
+    family, so a set with chance hits will do.
     """
     spark = docs.sparkSession
-    parts = 4 * shuffle_partitions(spark)
+    parts = even_parts(spark)
+    first = np.arange(parts.size, dtype=np.uint64) * np.uint64((1 << 64) // parts.size)  # least n-gram of each part
 
     def deal(batches):
         import pyarrow as pa
 
         for batch in batches:
             for _, hashes, _ in _sets(batch, width):
-                part = (hashes % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                ends = np.searchsorted(part[order], np.arange(parts + 1))
-                where = np.flatnonzero(np.diff(ends))
-                hashes = hashes[order]
-                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array([hashes[ends[p] : ends[p + 1]].tobytes() for p in where], pa.binary())], ["part", "data"])
+                own, n = np.unique(hashes, return_counts=True)
+                # kind 0: n-grams of one document here; kind 1: of more, each followed by their number
+                for kind, on in enumerate((n == 1, n > 1)):
+                    some = own[on]
+                    ends = np.append(np.searchsorted(some, first), some.size)
+                    where = np.flatnonzero(np.diff(ends))
+                    if kind:
+                        some = np.stack([some, n[on].astype(np.uint64)], axis=1)
+                    blobs = [some[ends[p] : ends[p + 1]].tobytes() for p in where]
+                    yield pa.RecordBatch.from_arrays([pa.array(parts[where]), pa.array(np.full(where.size, kind)), pa.array(blobs, pa.binary())], ["part", "kind", "data"])
 
     def count(batches):
         import pyarrow as pa
 
-        held = {}
-        for batch in batches:
-            for part, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(part, []).append(np.frombuffer(raw, np.uint64))
-        for part in list(held):
-            own, n = np.unique(np.concatenate(held.pop(part)), return_counts=True)
-            bit = own[n >= TIMES] & np.uint64((1 << COMMON_BITS) - 1)
+        for held in by_part(batches):
+            once = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(raw, np.uint64) for kind, raw in held if not kind)])
+            more = np.concatenate([np.zeros((0, 2), np.uint64), *(np.frombuffer(raw, np.uint64).reshape(-1, 2) for kind, raw in held if kind)])
+            own, n = np.concatenate([once, more[:, 0]]), np.concatenate([np.ones(once.size, np.int64), more[:, 1].astype(np.int64)])
+            order = np.argsort(own)
+            own, n = own[order], n[order]
+            new = np.ones(own.size, dtype=bool)
+            new[1:] = own[1:] != own[:-1]
+            head = np.flatnonzero(new)
+            bit = own[head][np.add.reduceat(n, head) >= TIMES] & np.uint64((1 << COMMON_BITS) - 1)
             word, at = np.unique(bit >> np.uint64(6), return_inverse=True)
             bits = np.zeros(word.size, dtype=np.uint64)
             np.bitwise_or.at(bits, at, np.uint64(1) << (bit & np.uint64(63)))
             yield pa.RecordBatch.from_arrays([pa.array(_signed(word)), pa.array(_signed(bits))], ["w", "b"])
 
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SAMPLE)) == 0)
-    counted = sample.mapInArrow(releasing(deal), "part long, data binary").repartition(shuffle_partitions(spark), "part").mapInArrow(count, "w long, b long")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    dealt = text.mapInArrow(releasing(deal), "part long, kind long, data binary")
+    counted = dealt.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part").mapInArrow(releasing(count), "w long, b long")
     found = counted.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # so many rows at most as the set has words
     out = np.zeros(1 << (COMMON_BITS - 6), dtype=np.uint64)
     out[found["w"].to_numpy(dtype=np.int64)] = found["b"].to_numpy(dtype=np.int64).view(np.uint64)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from kairograph.llm import graph, html_text, licenses, media, mixing, ngram_join, packing, pii, quality, repeats, token_files
 from kairograph.llm.graph import components
 from kairograph.llm.rangecoder import BLOCK, MOST_IDS, Table, decode_blocks, encode_blocks, read_stripes, write_stripes
-from kairograph.llm.shingles import Levels, most_apart
+from kairograph.llm.shingles import Levels, most_apart, shingle_sets
 from kairograph.llm.tokens import Encoder, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sequence_id string, kept int, row string, t long, th string, cls long, block long, src string, start long, mix_key double, stays int, n long, root long, a long, key int"
@@ -245,6 +245,30 @@ def test_similar_sets_share_signatures(percent):
         assert shared >= levels.buckets[level] - levels.slack[level] - most_apart(n, b.size, percent) or odd.all() and shared
 
 
+@pytest.mark.parametrize("width", [3, 5])
+def test_common_ngrams_are_counted_over_all_documents(spark, docs, width):
+    """Each n-gram of TIMES documents is in the set and no other, wherever the documents stand and whatever their ids."""
+    t = ngram_join.TIMES
+    rows = near_copies(docs) + [(7 * k, f"held by just enough of them{' or so' * (k % 3)}", "src0") for k in range(t)]
+    rows += [(None, "held by one document too few", "src1") for _ in range(t - 1)]
+    held = collections.Counter(h for _, text, _ in rows for raw in [(text or "").encode()] for h in shingle_sets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), width)[0].tolist())
+    expected = {h % (1 << ngram_join.COMMON_BITS) for h, n in held.items() if n >= t}
+    got = ngram_join.common_ngrams(frame(spark, rows), width)
+    assert got.size * 64 == 1 << ngram_join.COMMON_BITS and min(held.values()) < t <= max(held.values())
+    assert set(np.flatnonzero(np.unpackbits(got.view(np.uint8), bitorder="little")).tolist()) == expected
+    assert not ngram_join.common_ngrams(frame(spark, rows).limit(0), width).any()
+
+
+def test_ngram_join_whatever_is_common(spark, docs, monkeypatch):
+    """The links are the same if the set of common n-grams is full, or any."""
+    rows = near_copies(docs)[::2]
+    expected = brute_join(rows, 3, 90)
+    for bits in (np.full(4, ~np.uint64(0)), np.array([0x0F0F, 0, ~np.uint64(0), 5], dtype=np.uint64)):
+        monkeypatch.setattr(ngram_join, "common_ngrams", lambda docs, width, bits=bits: bits)
+        got = sorted((tuple(r) for r in ngram_join.jaccard_join(frame(spark, rows)).collect()), key=key)
+        assert got == expected
+
+
 def test_ngram_join_on_nothing(spark, docs):
     assert ngram_join.jaccard_join(frame(spark, docs).limit(0)).count() == 0
 
