@@ -13,7 +13,8 @@ adapt in the block, one for each degree of confidence in c, and so does the tabl
 was right more than once stays for a miss.  One interval of a carry-less range coder (64-bit state, 16-bit
 words) codes each id.  Everything is integer arithmetic, so all machines agree.
 
-Blocks are coded side by side: one step of numpy work handles the same position of every block.  Ids are
+Blocks are coded side by side: one step of numpy work handles the same position of every block.  Choices
+between two values are made by masks (0 or all ones), since a branch for each id costs more.  Ids are
 unsigned 32-bit numbers, at most MOST_IDS different ones in a stripe.
 """
 
@@ -105,11 +106,19 @@ def _joined(tables: list[Table]):
 #: Weights that a block begins with: by degree for a guess of order 1, then for one of order 2 by its confidence (1 to 3).
 _FIRST = np.array([4, 12, 24, 48, 96, 192, 320, 500, 750, 1050, 1400, 1850, 2400, 3000, 3600, 4000, 600, 1800, 2800], dtype=np.int32)
 _KINDS = 32
-_GOAL = np.array([8, _WEIGHT - 8], dtype=np.int32)
+_GOAL_MISS, _GOAL_HIT = 8, _WEIGHT - 8
 #: Confidence after a miss and after a hit; the entry of a fresh guess.
 _AFTER = np.array([1, 1, 1, 2, 1, 2, 3, 3], dtype=np.int32) << _GUESS_BITS
 
 
+def _chosen(mask: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """``one`` where the mask is all ones, ``other`` where it is 0."""
+    out = one ^ other
+    out &= mask
+    out ^= other
+    return out
+
+
 class _Model:
     """What coder and decoder know of n blocks; lanes are ordered by falling length, the first ``a`` are active.  two: the id before the last one, times a number."""
 
@@ -117,7 +126,7 @@ class _Model:
         self.pair = np.zeros(n * _SLOTS, dtype=np.int32)
         self.weight = np.tile(np.pad(_FIRST, (0, _KINDS - _FIRST.size)), n)
         lanes = np.arange(n, dtype=np.int64)
-        self.slot_base, self.kind_base = lanes * _SLOTS, (lanes * _KINDS).astype(np.int32)
+        self.slot_base, self.kind_base = lanes * _SLOTS, lanes * _KINDS
         self.one, self.two = np.zeros(n, dtype=np.uint32), np.zeros(n, dtype=np.uint32)
 
     def guess(self, a: int, follower: np.ndarray, degree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,26 +136,28 @@ class _Model:
         h >>= _U32(32 - _SLOT_BITS)
         self.at = self.slot_base[:a] + h
         entry = self.pair.take(self.at)
+        own = -entry
+        own >>= 31
         self.sure = entry >> _GUESS_BITS
         entry &= _GUESS
         self.second = entry
-        own = self.sure > 0
-        kind = np.where(own, self.sure + (_DEGREES - 1), degree)
-        kind += self.kind_base[:a]
-        self.kind = kind
-        self.w = self.weight.take(kind)
-        return np.where(own, entry, follower), self.w
-
-    def learn(self, a: int, x: np.ndarray, hit: np.ndarray) -> None:
-        """x: the places that came; hit: whether they were the guesses."""
-        step = _GOAL.take(hit.view(np.int8))
+        self.kind = self.kind_base[:a] + _chosen(own, self.sure + (_DEGREES - 1), degree)
+        self.w = self.weight.take(self.kind)
+        return _chosen(own, entry, follower), self.w
+
+    def learn(self, a: int, x: np.ndarray, miss: np.ndarray) -> None:
+        """x: the places that came; miss: a mask of those that were not the guesses."""
+        step = miss & (_GOAL_MISS - _GOAL_HIT)
+        step += _GOAL_HIT
         step -= self.w
         step >>= 5
         step += self.w
         self.weight[self.kind] = step
         after = (self.second == x).view(np.int8) << 2
         after = _AFTER.take(self.sure + after)
-        after |= np.where(self.sure > 1, self.second, x)
+        stays = 1 - self.sure
+        stays >>= 31
+        after |= _chosen(stays, self.second, x)
         self.pair[self.at] = after
         np.multiply(self.one[:a], _U32(0xC2B2AE35), out=self.two[:a])
         self.one[:a] = x
@@ -159,7 +170,8 @@ def _shifted(low: np.ndarray, span: np.ndarray, a: int):
     while ready.size:
         li, si = l[ready], s[ready]
         same = (li ^ (li + si - _U(1))) < _TOP
-        si = np.where(same, si, (~li + _U(1)) & (_SMALL - _U(1)))
+        if not same.all():
+            si = np.where(same, si, (~li + _U(1)) & (_SMALL - _U(1)))
         yield ready, li
         li <<= _U(16)
         si <<= _U(16)
@@ -195,23 +207,22 @@ def _encode(blocks: list[np.ndarray], tables, of: np.ndarray) -> list[bytes]:
         before, x = grid[t, :a], grid[t + 1, :a]
         at = base[:a] + before
         guess, w = model.guess(a, follower.take(at), degree.take(at))
-        hit = x == guess
+        miss = -(x != guess).astype(np.int64)
         here = base[:a] + x
         wide = w.astype(np.int64)
         rest = _WEIGHT - wide
         wide <<= _COUNT_BITS
-        size = rest * count.take(here)
+        size = _chosen(miss, rest * count.take(here), wide)
         rest *= below.take(here)
         rest += wide
-        np.copyto(size, wide, where=hit)
-        rest[hit] = 0
+        rest &= miss
         r = span[:a] >> _U(_TOTAL)
         low[:a] += r * rest.view(np.uint64)
         np.multiply(r, size.view(np.uint64), out=span[:a])
         for ready, state in _shifted(low, span, a):
             lanes.append(ready.astype(np.uint16))
             words.append((state >> _U(48)).astype(np.uint16))
-        model.learn(a, x, hit)
+        model.learn(a, x, miss.astype(np.int32))
     final = (low + (_SMALL - _U(1))) & ~(_SMALL - _U(1))
     for shift in (48, 32):
         lanes.append(np.arange(n, dtype=np.uint16))
@@ -242,7 +253,7 @@ def _decode(data: list[bytes], sizes: np.ndarray, tables, places: np.ndarray, of
     start, count, below, follower, degree = tables
     n = len(data)
     steps = int(sizes[0]) if n else 0
-    words = np.frombuffer(b"".join(d + bytes(8) for d in data), dtype="<u2").astype(np.uint64)
+    words = np.frombuffer(b"".join(d + bytes(8) for d in data), dtype="<u2")
     cursor = np.cumsum([0] + [len(d) // 2 + 4 for d in data])[:-1].astype(np.int64)
     code = np.zeros(n, dtype=np.uint64)
     for j in range(4):
@@ -264,25 +275,26 @@ def _decode(data: list[bytes], sizes: np.ndarray, tables, places: np.ndarray, of
         rest = _WEIGHT - wide
         wide <<= _COUNT_BITS
         v -= wide
-        hit = v < 0
-        v[hit] = 0
-        v //= rest
+        miss = v >> 63
+        np.invert(miss, out=miss)
+        v &= miss
+        unsigned = v.view(np.uint64)
+        unsigned //= rest.view(np.uint64)
         v += counts_base[:a]
-        x = grid[t + 1, :a]
-        np.copyto(x, places.take(v))
-        np.copyto(x, guess, where=hit)
+        missed, x = miss.astype(np.int32), grid[t + 1, :a]
+        x[:] = _chosen(missed, places.take(v), guess)
         here = base[:a] + x
-        size = rest * count.take(here)
+        size = _chosen(miss, rest * count.take(here), wide)
         rest *= below.take(here)
         rest += wide
-        np.copyto(size, wide, where=hit)
-        rest[hit] = 0
+        rest &= miss
         low[:a] += r * rest.view(np.uint64)
         np.multiply(r, size.view(np.uint64), out=span[:a])
         for ready, _ in _shifted(low, span, a):
-            code[ready] = code[ready] << _U(16) | words[np.minimum(cursor[ready], limit)]
-            cursor[ready] += 1
-        model.learn(a, x, hit)
+            place = cursor[ready]
+            code[ready] = code[ready] << _U(16) | words[np.minimum(place, limit)]
+            cursor[ready] = place + 1
+        model.learn(a, x, missed)
     return [grid[1 : k + 1, j] for j, k in enumerate(sizes.tolist())]
 
 

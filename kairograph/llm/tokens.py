@@ -2,8 +2,9 @@
 
 The library spends most of its time cutting a text into pre-tokens and keeping alignments that nobody
 asks for.  Here the cut is done over whole batches with numpy, each distinct pre-token goes through the
-library once, and its ids are kept (bounded: the store is emptied when it is full).  The character
-classes come from the library's own regular expressions, so both agree on every code point.
+library's model once, in the characters that stand for its bytes, and its ids are kept (bounded: the store
+is emptied when it is full).  The character classes come from the library's own regular expressions, so
+both agree on every code point.
 Texts that hold the string of an added token are encoded by the library as a whole.
 """
 
@@ -63,6 +64,27 @@ def classes() -> np.ndarray:
 _APOSTROPHE = 39
 
 
+def _byte_points() -> np.ndarray:
+    """The code point that a byte-level vocabulary has for each byte: printable bytes are themselves, the others follow 255."""
+    out, hidden = np.arange(256, dtype=np.uint32), np.r_[:33, 127:161, 173]
+    out[hidden] = 256 + np.arange(hidden.size, dtype=np.uint32)
+    return out
+
+
+_BYTE_POINTS = _byte_points()
+
+
+def byte_level(words: list[str]) -> list[str]:
+    """The words as the byte-level pre-tokeniser of the library hands them to its model."""
+    text = "".join(words)
+    points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    ends = np.zeros(points.size + 1, dtype=np.int64)  # in bytes of UTF-8
+    np.cumsum(1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000), out=ends[1:])
+    at = ends[np.cumsum(np.fromiter(chain([0], map(len, words)), dtype=np.int64, count=len(words) + 1))].tolist()
+    shown = _BYTE_POINTS[np.frombuffer(text.encode(), dtype=np.uint8)].tobytes().decode("utf-32-le")
+    return [shown[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 class _Store:
     """An open-addressing table from 64-bit keys to running numbers, worked on a batch at a time."""
 
@@ -247,8 +269,9 @@ class Encoder:
         return self.flat[take], np.diff(total[np.searchsorted(start, rows)])
 
     def _learn(self, fresh: list[str]) -> None:
-        # a pre-token alone is cut into itself again, so the library's ids for it are those inside a text
-        ids = [e.ids for e in self.tok.encode_batch_fast(fresh, add_special_tokens=False)]
+        # the model alone: what else the library does with a text (normalising, cutting, alignments) is done or not asked for
+        tokenize = self.tok.model.tokenize
+        ids = [[t.id for t in tokenize(word)] for word in byte_level(fresh)]
         sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
         if ends[-1] > self.flat.size:

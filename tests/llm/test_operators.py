@@ -5,6 +5,7 @@ import datetime as dt
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -65,6 +66,38 @@ def test_strings_of_added_tokens(name):
     assert fresh.token_to_id("<|endoftext|>") in Encoder(tokenizer_path(name)).encode(["one<|endoftext|>two"])[0]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_new_words_cost_less_than_the_library_takes_for_them(name):
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcdefghijklmnorstuéß漢") for _ in range(rng.randint(4, 12))) for _ in range(200)) for _ in range(100)]
+    words = sorted({w for t in texts for w in t.split()})
+    e = Encoder(tokenizer_path(name))
+    e.encode(["the tables of the process are made now"])
+
+    def seconds(run):
+        begin = time.process_time()
+        run()
+        return time.process_time() - begin
+
+    own, library = [], []
+    for _ in range(5):
+        e.reset()
+        own.append(seconds(lambda: e.encode(texts)))
+        library.append(seconds(lambda: [x.ids for x in e.tok.encode_batch_fast(words, add_special_tokens=False)]))
+    assert min(own) < 0.85 * min(library), (own, library)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_byte_of_a_word_reaches_the_model(name):
+    """Each byte that UTF-8 can hold, in words of characters of one to four bytes, which stand beside each other."""
+    points = [*range(1, 0x180), *range(0x7F0, 0x810), *range(0x800, 0xD800, 0x3F), 0xD7FF, 0xE000, 0xFFFD, 0xFFFF, *(plane + x for plane in range(0x10000, 0x110000, 0x10000) for x in (0, 0x3F, 0xFFF, 0xFFFF))]
+    texts = [chr(p) for p in points] + [chr(p) + "a" + chr(q) for p, q in zip(points, reversed(points), strict=True)]
+    e = Encoder(tokenizer_path(name))
+    ids, at = e.encode(texts)
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == e.tok.encode(t, add_special_tokens=False).ids, t
+
+
 def test_coder_round_trip():
     rng = np.random.default_rng(0)
     top = (1 << 32) - 1
